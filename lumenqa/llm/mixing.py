@@ -214,7 +214,8 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
     times = times.withColumnRenamed("doc_id", "__id")
     columns = docs.columns
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["__id"]))
+    # Every document has a row here, so this is a shuffled join at any size: one pass of the texts.
+    joined = docs.hint("merge").join(times.hint("merge"), docs[id_col].eqNullSafe(times["__id"]))
     # Rows that repeat an id (rare: the stages before this one keep ids unique) take the mean, rounded up.
     each = F.ceil(F.col("__times") / F.col("__rows")).cast("int")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(each, F.lit(1))))).filter(each > 0).select(*columns)
