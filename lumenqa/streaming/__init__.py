@@ -1,0 +1,6 @@
+"""Streams.
+
+The engine's reference workload is batch only.  The row-local functions of :mod:`lumenqa.functions`
+hold no state and can be applied to a ``readStream`` as they are; nothing else here is a stream
+operator.
+"""
