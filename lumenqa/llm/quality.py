@@ -97,8 +97,9 @@ def _ragged(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]), np.cumsum(sizes) - sizes
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 6, epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 4, epochs: int | None = None, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss.  Without rows, or with one label only, the prior is the score."""
+    epochs = epochs or min(40, max(12, 40_000 // max(1, len(rows))))  # few rows are seen more often
     rng = np.random.default_rng(seed)
     prior = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     m = Machine(math.log(prior / (1 - prior)), np.zeros(SIZE), rng.normal(0, 0.05, (SIZE, rank)))
