@@ -29,8 +29,8 @@ from .common import written
 END_ID = 1
 #: Numbers are given within (length, bucket); buckets keep a common length spread over tasks.
 BUCKETS = 256
-#: Word cache of a tokenising worker; it is emptied when full.
-CACHE_WORDS = 700_000
+#: Words in the cache of a tokenising worker; as many again are in the old one (some 120 MB in all).
+CACHE_WORDS = 300_000
 
 
 def _latin_class(kind: str) -> str:
@@ -65,7 +65,7 @@ class Encoder:
         letters, numbers = _latin_class("L"), _latin_class("N")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
         self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,28 +77,32 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self.whole(text)
-        chunks, cache = text.lower().split(), self.chunks
+        chunks, cache = text.lower().split(), self.cache
         try:
             return b"".join([cache[c] for c in chunks])
         except KeyError:
             self.fill(chunks)
-            return b"".join([cache[c] for c in chunks])
+            return b"".join([self.cache[c] for c in chunks])
 
     def fill(self, chunks: list[str]) -> None:
-        """Caches what stands between white space, by way of the words in it."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-            self.cache.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
-        cut = [[c] if c.isalpha() else self.words(c) for c in new]
-        missing = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.cache]
-        if missing:
-            self.learn(missing)
-        cache = self.cache
-        self.chunks.update((c, cache[words[0]] if len(words) == 1 else b"".join([cache[w] for w in words])) for c, words in zip(new, cut, strict=True))
+        """Caches what stands between white space, by way of the words in it.
+
+        A full cache becomes the old one, from which what is met again is taken back.
+        """
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old
+        new = [c for c in dict.fromkeys(chunks) if c not in cache]
+        cut = {c: self.words(c) for c in new if c not in old and not c.isalpha()}
+        needed = dict.fromkeys([*new, *(w for words in cut.values() for w in words)])
+        cache.update((w, old[w]) for w in needed if w in old)
+        self.learn([w for w in needed if w not in cache and len(cut.get(w, "1")) == 1])
+        cache.update((c, b"".join([cache[w] for w in words])) for c, words in cut.items() if c not in cache)
 
     def learn(self, words: list[str]) -> None:
         """Fills the cache by one call: a space between two words keeps them apart."""
+        if not words:
+            return
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids, at = np.array(found.ids, "<u4").tobytes(), found.word_ids
         starts = [i for i, w in enumerate(at) if not i or w != at[i - 1]]
