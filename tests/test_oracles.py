@@ -1,0 +1,67 @@
+"""Every registered query against its SQL on the smallest data."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float) or type(value).__name__ == "Decimal":
+        return None if math.isnan(value) else round(float(value), 6) + 0.0
+    return value
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_oracle(spark, duck, name):
+    df = entry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
+    rel = duck.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(names) == columns
+    rows = [dict(zip(names, r, strict=True)) for r in rel.fetchall()]
+    assert got == sorted(repr([plain(r[c]) for c in columns]) for r in rows)
+
+
+def test_every_oracle_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_bm25_plan(spark):
+    """Per-question limits go below the shuffle; no Python and no Cartesian product."""
+    plan = entry.queries()["bm25_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    def run(n):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            return sorted(map(str, entry.queries()["bm25_topk"](spark, SF).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    assert run("1") == run("13")
+
+
+def test_data_is_there():
+    assert os.path.exists(f"{SF}/documents.parquet")
