@@ -29,8 +29,8 @@ from .common import written
 END_ID = 1
 #: Numbers are given within (length, bucket); buckets keep a common length spread over tasks.
 BUCKETS = 256
-#: Words in the cache of a tokenising worker; as many again are in the old one (some 120 MB in all).
-CACHE_WORDS = 300_000
+#: Words in the cache of a tokenising worker; as many again are in the old one (some 180 MB in all).
+CACHE_WORDS = 450_000
 
 
 def _latin_class(kind: str) -> str:
