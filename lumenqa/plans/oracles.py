@@ -294,7 +294,7 @@ def oracle_sql() -> dict[str, str]:
         ("missing", "NOT answerable AND review_abstention_correct IS NULL", "'review_abstention_correct'"), ("missing", "system <> 'non_rag' AND manual_citation_supported IS NULL", "'manual_citation_supported'"),
         ("invalid", "manual_hallucinated AND severity = 'none'", "'hallucinated without severity'"), ("invalid", "NOT manual_hallucinated AND severity IN ('minor', 'major')", "'not hallucinated but ' || severity"),
     ]
-    percent = lambda x: f"printf('%.1f%%', {x} * 100)"
+    percent = lambda x: f"printf('%.1f%%', round({x} * 100, 1))"
     text = r"chr(160) || ' – a' || chr(9) || ' b' || repeat(chr(10), 3) || text"
     tidy = rf"list_transform(string_split(translate({text}, chr(160) || '–—', ' --'), chr(10)), lambda l: {strip(rf'''regexp_replace(l, '[ \t]+', ' ', 'g')''')})"
     return {
