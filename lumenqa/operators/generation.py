@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.files import utc_stamp
 from .retrieval import bm25_search
 
 SYSTEMS = ("non_rag", "bm25_rag", "dense_rag", "bm25_rerank_rag", "dense_rerank_rag", "iterkey_rag")
@@ -35,7 +36,7 @@ def evidence_prompts(questions: DataFrame, ranked: DataFrame, chunks: DataFrame,
     evidence = rows.groupBy("question_id").agg(F.array_join(parts, "\n").alias("evidence"))
     _, head = open_prompt(domain)
     text = F.concat(head, F.lit("\n\nEvidence chunks:\n"), F.coalesce("evidence", F.lit("")), F.lit("\n\nAnswer using only the evidence chunks above."))
-    return questions.join(evidence, "question_id", "left").select("question_id", F.lit(EVIDENCE_RULES.format(domain=domain)).alias("instructions"), text.alias("input"))
+    return questions.select("question_id", "question").join(evidence, "question_id", "left").select("question_id", F.lit(EVIDENCE_RULES.format(domain=domain)).alias("instructions"), text.alias("input"))
 
 
 def select_questions(questions: DataFrame, ids: list[str] | None = None, limit: int | None = None, order: str = "question_id") -> DataFrame:
@@ -92,14 +93,15 @@ def generate(prompts: DataFrame, generator: Generator) -> DataFrame:
 
 def dry_run(questions: DataFrame) -> DataFrame:
     """The constant answer of a run without a model."""
-    return questions.select("question_id", F.lit("").alias("answer"), F.lit(True).alias("abstained"), F.lit("dry run").alias("abstention_reason"), F.array().cast("array<string>").alias("citations"))
+    return questions.select("question_id", F.lit("").alias("answer"), F.lit(True).alias("abstained"), F.lit("dry_run").alias("abstention_reason"), F.array().cast("array<string>").alias("citations"))
 
 
 def generation_rows(answers: DataFrame, questions: DataFrame, ranked: DataFrame | None, chunks: DataFrame, system: str, model: str = "none", temperature: float = 0.0, dry: bool = False) -> DataFrame:
     """The full record of a run: answers with their questions and retrieved chunks in rank order."""
     if system not in SYSTEMS:
         raise ValueError(f"unknown system {system!r}; known: {', '.join(SYSTEMS)}")
-    item = "struct<rank:int,chunk_id:string,doc_id:bigint,section:string,score:double,title:string,chunk_index:int,text_preview:string>"
+    id_type = chunks.schema["doc_id"].dataType.simpleString()
+    item = f"struct<rank:int,chunk_id:string,doc_id:{id_type},section:string,score:double,title:string,chunk_index:int,text_preview:string>"
     rows = answers.join(questions.select("question_id", "question"), "question_id")
     if ranked is None:
         rows = rows.withColumn("retrieved_chunks", F.array().cast(f"array<{item}>"))
@@ -108,17 +110,38 @@ def generation_rows(answers: DataFrame, questions: DataFrame, ranked: DataFrame
         entry = F.struct("rank", "chunk_id", "doc_id", "section", "score", "title", "chunk_index", "text_preview").cast(item)
         rows = rows.join(shown.groupBy("question_id").agg(F.sort_array(F.collect_list(entry)).alias("retrieved_chunks")), "question_id", "left")
         rows = rows.withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", F.array().cast(f"array<{item}>")))
-    extra = {"system": F.lit(system), "model": F.lit(model), "temperature": F.lit(float(temperature)), "dry_run": F.lit(dry)}
+    version = {"non_rag": "non_rag_v1", "iterkey_rag": "iterkey_v1"}.get(system, "rag_v1")
+    extra = {"prompt_version": F.lit(version), "created_at": utc_stamp(), "system": F.lit(system), "model": F.lit(model), "temperature": F.lit(float(temperature)), "dry_run": F.lit(dry)}
     return rows.withColumns(extra)
 
 
 @dataclass
 class KeywordModel:
-    """The three calls of the loop, each given whole questions; any of them may call a language model."""
+    """The three calls of the loop, each given whole questions; any of them may call a language model.
+
+    ``answer`` gets the retrieved ids in rank order and, with ``wants_evidence``, the prompt input of
+    :func:`evidence_prompts` as a third argument.
+    """
 
     keywords: Callable[[str, list[str]], list[str]]
-    answer: Callable[[str, list[str]], dict[str, Any]]
+    answer: Callable[..., dict[str, Any]]
     supported: Callable[[str, dict[str, Any]], bool]
+    wants_evidence: bool = False
+
+
+#: Instructions of the two helper calls of :func:`model_keywords`.
+KEYWORD_RULES = "Give short search keywords for the question that are not among those already tried. Return JSON: {\"keywords\": [...]}."
+SUPPORT_RULES = "Say whether the answer is fully supported by the passages it cites. Return JSON: {\"supported\": true or false}."
+
+
+def model_keywords(generator: Generator) -> KeywordModel:
+    """The loop's three calls made by one language model."""
+    return KeywordModel(
+        lambda q, tried: list(generator(KEYWORD_RULES, f"Question: {q}\nTried: {', '.join(tried)}").get("keywords") or []),
+        lambda q, ids, evidence: generator(EVIDENCE_RULES.format(domain="the collection"), evidence),
+        lambda q, a: not a.get("abstained") and bool(generator(SUPPORT_RULES, f"Question: {q}\nAnswer: {a.get('answer')}\nCited: {', '.join(a.get('citations') or [])}").get("supported")),
+        wants_evidence=True,
+    )
 
 
 def iterate_keywords(questions: DataFrame, chunks: DataFrame, model: KeywordModel, top_k: int = 5, max_iterations: int = 5, written: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -144,14 +167,21 @@ def iterate_keywords(questions: DataFrame, chunks: DataFrame, model: KeywordMode
         found = ranked.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved_chunk_ids"))
         rows = asked.join(found, "question_id", "left").withColumn("retrieved_chunk_ids", F.coalesce("retrieved_chunk_ids", F.array().cast("array<string>")))
 
+        if model.wants_evidence:
+            rows = rows.join(evidence_prompts(asked, ranked, chunks).select("question_id", F.col("input").alias("evidence")), "question_id")
+        else:
+            rows = rows.withColumn("evidence", F.lit(""))
+
         def reply(frames: Iterator[pd.DataFrame], iteration: int = iteration) -> Iterator[pd.DataFrame]:
             for f in frames:
-                got = [model.answer(q, list(c)) for q, c in zip(f["question"], f["retrieved_chunk_ids"], strict=True)]
+                texts = f.pop("evidence")
+                extra = [(t,) if model.wants_evidence else () for t in texts]
+                got = [model.answer(q, list(c), *e) for q, c, e in zip(f["question"], f["retrieved_chunk_ids"], extra, strict=True)]
                 ok = [bool(model.supported(q, a)) for q, a in zip(f["question"], got, strict=True)]
                 yield f.assign(iteration=iteration, is_supported=ok, **{k: [a.get(k) for a in got] for k in ("answer", "abstained", "citations")})
 
         schema = f"question_id {ids}, question string, keywords array<string>, expanded_query string, retrieved_chunk_ids array<string>, iteration int, is_supported boolean, answer string, abstained boolean, citations array<string>"
-        done = keep(rows.select("question_id", "question", "keywords", "expanded_query", "retrieved_chunk_ids").mapInPandas(reply, schema))
+        done = keep(rows.select("question_id", "question", "keywords", "expanded_query", "retrieved_chunk_ids", "evidence").mapInPandas(reply, schema))
         trace = done if trace is None else trace.unionByName(done)
         open_rows = done.filter("not is_supported").select("question_id", "question", F.col("keywords").alias("previous"))
         if open_rows.isEmpty():

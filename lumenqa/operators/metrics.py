@@ -18,13 +18,15 @@ def k_values(top_k: int) -> list[int]:
     return sorted({k for k in CUTS if k <= top_k} | {top_k})
 
 
-def judge(ranked: DataFrame, qrels: DataFrame, near_miss: DataFrame) -> DataFrame:
+def judge(ranked: DataFrame, qrels: DataFrame, near_miss: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """Ranked rows with relevance (0 if unjudged) and the gold and near-miss flags of their documents.
 
     ``qrels``: question_id, chunk_id, doc_id, relevance; of several grades the last, by value, counts.
+    ``gold``: question_id, doc_id; by default the documents with a relevant grade.
     """
     grades = qrels.groupBy("question_id", "chunk_id").agg(F.max("relevance").alias("relevance"))
-    gold = qrels.filter(F.col("relevance") >= RELEVANT).select("question_id", "doc_id").distinct().withColumn("g", F.lit(True))
+    gold = qrels.filter(F.col("relevance") >= RELEVANT) if gold is None else gold
+    gold = gold.select("question_id", "doc_id").distinct().withColumn("g", F.lit(True))
     near = near_miss.select("question_id", "doc_id").distinct().withColumn("m", F.lit(True))
     joined = ranked.join(grades, ["question_id", "chunk_id"], "left").join(gold, ["question_id", "doc_id"], "left").join(near, ["question_id", "doc_id"], "left")
     flags = {"relevance": F.coalesce("relevance", F.lit(0)), "is_gold_doc": F.coalesce("g", F.lit(False)), "is_near_miss_doc": F.coalesce("m", F.lit(False))}

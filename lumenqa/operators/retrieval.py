@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,41 +92,82 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, top_k: int = 5, k1: flo
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: exact inner product of unit vectors, ties to smaller ids.
+def dense_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_block: int = 1024, query_col: str = "query_id", keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = ()) -> DataFrame:
+    """query id, rank, keys, carried columns, score: exact inner product of unit vectors, ties by ``keys``.
 
     Queries go out in broadcast blocks of a fixed size; each Arrow batch of vectors is one matrix
     product and reports its own best rows, and a window ranks those.
     """
     spark, out = queries.sparkSession, None
-    schema = "query_id long, vec_id long, score double"
+    columns = [*keys, *carried]
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [query_col, *columns]) + ", score double"
     total = queries.count()
-    ordered = queries.select("query_id", "vector").orderBy("query_id")
+    ordered = queries.select(query_col, "vector").orderBy(query_col)
     for start in range(0, max(total, 1), query_block):
         rows = ordered.offset(start).limit(query_block).collect()  # a block of fixed size
-        block = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float)))
+        block = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r["vector"] for r in rows], float)))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             ids, wanted = block.value
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                if not len(own) or not len(ids):
+                if not batch.num_rows or not ids:
                     continue
-                matrix = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                place = np.empty(batch.num_rows, np.int64)
+                place[pc.sort_indices(batch, sort_keys=[(k, "ascending") for k in keys]).to_numpy()] = np.arange(batch.num_rows)
+                matrix = np.stack(batch.column(len(columns)).to_numpy(zero_copy_only=False)).astype(float)
                 scores = np.round(wanted @ matrix.T, DIGITS)
-                q, at = [], []
-                for i, s in enumerate(scores):
-                    best = np.lexsort((own, -s))[:top_k]
-                    q += [ids[i]] * len(best)
-                    at += [(i, j) for j in best]
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([own[j] for _, j in at], pa.int64()), pa.array([scores[x] for x in at], pa.float64())], ["query_id", "vec_id", "score"])
-
-        part = vectors.select("vec_id", "vector").mapInArrow(run, schema)
+                best = []
+                for s in scores:
+                    few = np.flatnonzero(s >= np.partition(s, -top_k)[-top_k]) if len(s) > top_k else np.arange(len(s))
+                    best.append(few[np.lexsort((place[few], -s[few]))][:top_k])
+                at, of = np.concatenate(best), np.repeat(np.arange(len(ids)), [len(x) for x in best])
+                found = [pa.array(ids).take(pa.array(of)), *(batch.column(i).take(pa.array(at)) for i in range(len(columns)))]
+                yield pa.RecordBatch.from_arrays([*found, pa.array(scores[of, at])], [query_col, *columns, "score"])
+
+        part = vectors.select(*columns, "vector").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy(query_col).orderBy(F.desc("score"), *keys)
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
+def hashed_encoder(texts: list[str], size: int = 256) -> np.ndarray:
+    """A deterministic stand-in for a sentence model: hashed word counts."""
+    out = np.zeros((len(texts), size))
+    for row, text in zip(out, texts, strict=True):
+        for word in text.lower().split():
+            row[zlib.crc32(word.encode()) % size] += 1
+    return out
+
+
+Encoder = Callable[[list[str]], np.ndarray]
+
+
+def embed(rows: DataFrame, text: Column, encoder: Encoder = hashed_encoder) -> DataFrame:
+    """``rows`` with ``vector``, the encoder's output at unit norm in single precision; zero vectors stay zero."""
+
+    @F.pandas_udf("array<float>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = np.asarray(encoder(texts.tolist()), float)
+            norms = np.linalg.norm(found, axis=1, keepdims=True)
+            yield pd.Series(list((found / np.where(norms > 0, norms, 1)).astype(np.float32)))
+
+    return rows.withColumn("vector", encoded(F.coalesce(text, F.lit(""))))
+
+
+def embed_passages(chunks: DataFrame, encoder: Encoder = hashed_encoder) -> DataFrame:
+    """(chunk_id, doc_id, chunk_index, vector) of title, section, topic and text."""
+    rows = chunks.select("chunk_id", "doc_id", "chunk_index", tx.joined_fields(F.col("title"), F.col("section"), F.col("topic"), F.col("text")).alias("t"))
+    return embed(rows, F.col("t"), encoder).drop("t")
+
+
+def dense_passages(questions: DataFrame, passages: DataFrame, encoder: Encoder = hashed_encoder, top_k: int = 5) -> DataFrame:
+    """question_id, rank, chunk_id, doc_id, chunk_index, score; a blank question has no row."""
+    asked = questions.select("question_id", tx.strip(F.col("question")).alias("question")).filter("question <> ''")
+    return dense_search(embed(asked, F.col("question"), encoder), passages, top_k, query_col="question_id", keys=("doc_id", "chunk_index"), carried=("chunk_id",))
+
+
 def overlap_scorer(query: pd.Series, text: pd.Series) -> pd.Series:
     """A deterministic stand-in for a pair model: the share of the query's words in the text."""
     return pd.Series([len(set(q.lower().split()) & set(t.lower().split())) / max(1, len(set(q.lower().split()))) for q, t in zip(query, text, strict=True)], dtype=float)
@@ -147,13 +192,66 @@ def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(chunks.select("chunk_id", "title", "section", tx.preview(F.col("text")).alias("text_preview")), "chunk_id")
 
 
-RETRIEVERS = ("bm25", "bm25_rerank")
+RETRIEVERS = ("bm25", "dense", "bm25_rerank", "dense_rerank")
+#: The search that each generation system uses; none for the one without retrieval.
+SYSTEM_RETRIEVERS = {
+    "non_rag": None, "bm25_rag": "bm25", "dense_rag": "dense", "bm25_rerank_rag": "bm25_rerank", "dense_rerank_rag": "dense_rerank", "iterkey_rag": "bm25",
+}
+
 
+@dataclass
+class Retriever:
+    """A search over passages by name; ``search`` ranks whole tables of questions as one plan.
 
-def build_retriever(name: str, chunks: DataFrame, top_k: int = 5, candidate_k: int = 20, expand: bool = False, scorer=overlap_scorer) -> Callable[[DataFrame], DataFrame]:
+    ``passages`` are embedded passages to use again (of the same chunks), else they are made here.
+    """
+
+    name: str
+    chunks: DataFrame
+    candidate_k: int = 20
+    expand: bool = False
+    scorer: Callable[[pd.Series, pd.Series], pd.Series] = overlap_scorer
+    encoder: Encoder = hashed_encoder
+    passages: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.name not in RETRIEVERS:
+            raise ValueError(f"unknown retriever {self.name!r}; known: {', '.join(RETRIEVERS)}")
+        if self.candidate_k <= 0:
+            raise ValueError("candidate_k must be positive")
+
+    def _base(self, questions: DataFrame, top_k: int) -> DataFrame:
+        if self.name.startswith("bm25"):
+            return bm25_search(questions, self.chunks, top_k, expand=self.expand)
+        passages = embed_passages(self.chunks, self.encoder) if self.passages is None else self.passages
+        return dense_passages(questions, passages, self.encoder, top_k)
+
+    def search(self, questions: DataFrame, top_k: int = 5) -> DataFrame:
+        if not self.name.endswith("_rerank"):
+            return self._base(questions, top_k)
+        return rerank(self._base(questions, max(top_k, self.candidate_k)), questions, self.chunks, self.scorer, top_k, self.candidate_k)
+
+    def describe(self) -> dict[str, Any]:
+        """The parameters and the size of the collection."""
+        own: dict[str, Any] = {"name": self.name, "num_chunks": self.chunks.count()}
+        if self.name.startswith("bm25"):
+            average = corpus_stats(weighted_terms(self.chunks)).first()["average_length"]
+            own |= {"k1": K1, "b": B, "avg_indexed_doc_len": average, "query_expansion": self.expand}
+        else:
+            own["encoder"] = getattr(self.encoder, "__name__", str(self.encoder))
+        if self.name.endswith("_rerank"):
+            own |= {"candidate_k": self.candidate_k, "scorer": getattr(self.scorer, "__name__", str(self.scorer))}
+        return own
+
+
+def build_retriever(name: str, chunks: DataFrame, **options: Any) -> Retriever:
     """A search by name; unknown names are an error."""
-    if name == "bm25":
-        return lambda questions: bm25_search(questions, chunks, top_k, expand=expand)
-    if name == "bm25_rerank":
-        return lambda questions: rerank(bm25_search(questions, chunks, max(top_k, candidate_k), expand=expand), questions, chunks, scorer, top_k, candidate_k)
-    raise ValueError(f"unknown retriever {name!r}; known: {', '.join(RETRIEVERS)}")
+    return Retriever(name, chunks, **options)
+
+
+def system_retriever(system: str, chunks: DataFrame, **options: Any) -> Retriever | None:
+    """The search of a generation system, which never expands queries."""
+    if system not in SYSTEM_RETRIEVERS:
+        raise ValueError(f"unknown system {system!r}; known: {', '.join(SYSTEM_RETRIEVERS)}")
+    name = SYSTEM_RETRIEVERS[system]
+    return Retriever(name, chunks, **options) if name else None

@@ -94,16 +94,30 @@ def duplicate_ids(questions: DataFrame) -> DataFrame:
 def near_duplicate_pairs(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
     """(first_id, second_id): all pairs of rows whose folded texts are equal.
 
-    All pairs are the feature here, so the result grows with the square of a group of questions.
+    All pairs are the feature here, so the result grows with the square of a group: it is for the
+    questions of a benchmark.  Whole collections take :func:`near_duplicate_groups`.
     """
     keyed = questions.select(F.col(id_col).alias("id"), tx.fold_question(F.col(text_col)).alias("key"))
     left, right = keyed.select(F.col("id").alias("first_id"), "key"), keyed.select(F.col("id").alias("second_id"), "key")
     return left.join(right, "key").filter("first_id < second_id").select("first_id", "second_id")
 
 
+def near_duplicate_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, group_id, group_size) of every row: the smallest id whose folded text is equal, and how many are.
+
+    Two pairs of rows are near duplicates exactly if they share a group, so no pair is written.
+    Digests are counted with map-side aggregation and joined back; a hot group is one row there.
+    """
+    keyed = rows.select(F.col(id_col), F.sha2(tx.fold_question(F.coalesce(F.col(text_col), F.lit(""))), 256).alias("__key"))
+    groups = keyed.groupBy("__key").agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    return keyed.join(groups, "__key").select(id_col, "group_id", "group_size")
+
+
 def validate(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """All findings of the row, reference and duplicate rules."""
-    return _union([row_rules(questions), reference_rules(questions, chunks), duplicate_ids(questions)])
+    alike = near_duplicate_pairs(questions).withColumn("question_id", F.col("first_id"))
+    again = F.concat(F.lit("near-duplicate normalized question text: "), F.col("first_id").cast("string"), F.lit(" and "), F.col("second_id").cast("string"))
+    return _union([row_rules(questions), reference_rules(questions, chunks), duplicate_ids(questions), _found(alike, "near_duplicate", again, "warning")])
 
 
 def summary(questions: DataFrame) -> DataFrame:

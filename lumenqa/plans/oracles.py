@@ -216,6 +216,8 @@ def _rule(severity: str, name: str, where: str, message: str, source: str = "rec
     return f"SELECT question_id::VARCHAR AS question_id, '{severity}' AS severity, '{name}' AS rule, {message} AS message FROM {source} WHERE {where}"
 
 
+FOLDED = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+
 FINDINGS = RECORDS + "\n" + "\nUNION ALL ".join(
     [
         _rule("error", "no_gold_docs", "answerable AND len(gold_docs) = 0", "'answerable question has no gold_doc_ids'"),
@@ -323,9 +325,10 @@ def oracle_sql() -> dict[str, str]:
         "compare_overall": f"{COMPARED}, {CASES}, every AS (SELECT * FROM (VALUES (1), (3), (5), (10)) a(k), (VALUES ('both_hit'), ('left_only'), ('right_only'), ('both_miss')) b(bucket)) SELECT e.k, e.bucket, count(question_id) AS n, coalesce(string_agg(question_id::VARCHAR, ',' ORDER BY question_id), '') AS ids FROM every e LEFT JOIN (SELECT *, {BUCKET} AS bucket FROM cases) c ON c.k = e.k AND c.bucket = e.bucket GROUP BY 1, 2",
         "compare_by_slice": f"{COMPARED}, {CASES}, named AS (SELECT *, {BUCKET} AS bucket FROM cases), long AS (SELECT 'topic' AS slice, topic AS \"group\", k, bucket FROM named UNION ALL SELECT 'question_type', question_type, k, bucket FROM named UNION ALL SELECT 'difficulty', difficulty, k, bucket FROM named) SELECT slice, \"group\", k, count_if(bucket = 'both_hit')::BIGINT AS both_hit, count_if(bucket = 'left_only')::BIGINT AS left_only, count_if(bucket = 'right_only')::BIGINT AS right_only, count_if(bucket = 'both_miss')::BIGINT AS both_miss FROM long GROUP BY 1, 2, 3",
         "compare_detail": f"{COMPARED} SELECT b.question_id, first_rank AS left_rank, r_first_rank AS right_rank, l.chunk_id AS left_top, r.chunk_id AS right_top FROM both_sides b LEFT JOIN ranked l ON l.question_id = b.question_id AND l.rank = 1 LEFT JOIN again r ON r.question_id = b.question_id AND r.rank = 1",
-        "validate_findings": FINDINGS,
+        "validate_findings": FINDINGS + f" UNION ALL SELECT a.item_id::VARCHAR, 'warning', 'near_duplicate', 'near-duplicate normalized question text: ' || a.item_id || ' and ' || b.item_id FROM (SELECT item_id, {FOLDED} AS key FROM benchmark) a JOIN (SELECT item_id, {FOLDED} AS key FROM benchmark) b ON a.key = b.key AND a.item_id < b.item_id",
         "validate_summary": RECORDS + " SELECT 'answerability' AS scope, CASE WHEN answerable THEN 'answerable' ELSE 'unanswerable' END AS value, count(*) AS n FROM records GROUP BY ALL UNION ALL SELECT 'topic', topic, count(*) FROM records GROUP BY ALL UNION ALL SELECT 'question_type', question_type, count(*) FROM records GROUP BY ALL UNION ALL SELECT 'difficulty', difficulty, count(*) FROM records GROUP BY ALL UNION ALL SELECT 'gold_doc', doc_id::VARCHAR, count(*) FROM gold GROUP BY ALL",
-        "near_duplicate_pairs": r"WITH keyed AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM documents) SELECT a.doc_id AS first_id, b.doc_id AS second_id FROM keyed a JOIN keyed b ON a.key = b.key AND a.doc_id < b.doc_id",
+        "near_duplicate_pairs": f"WITH keyed AS (SELECT item_id, {FOLDED} AS key FROM benchmark) SELECT a.item_id AS first_id, b.item_id AS second_id FROM keyed a JOIN keyed b ON a.key = b.key AND a.item_id < b.item_id",
+        "near_duplicate_groups": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS group_id, count(*) OVER (PARTITION BY key) AS group_size FROM (SELECT doc_id, {FOLDED} AS key FROM documents)",
         "gen_prompts": PROMPTS,
         "gen_dry_run": f"WITH {CHUNKS}, {ASKED}, {ranked(5)} SELECT a.question_id, a.question, true AS abstained, 'bm25_rag' AS system, count(r.chunk_id) AS n_retrieved, any_value(r.chunk_id) FILTER (r.rank = 1) AS top, md5(any_value({PREVIEW('c.text')}) FILTER (r.rank = 1)) AS preview_md5 FROM asked a LEFT JOIN ranked r USING (question_id) LEFT JOIN chunks c ON c.chunk_id = r.chunk_id GROUP BY a.question_id, a.question",
         "citation_flags": f"WITH {GENERATIONS} SELECT question_id, system, answerable, abstained, answered, citation_count, len(missing) = 0 AS citations_exist, len(outside) = 0 AS citations_in_retrieved, has_gold_citation, array_to_string(missing, ',') AS missing_citations, array_to_string(outside, ',') AS not_retrieved_citations, answer_nonempty FROM flags",

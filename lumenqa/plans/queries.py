@@ -243,7 +243,12 @@ def validate_summary(spark, sf):
 
 @query
 def near_duplicate_pairs(spark, sf):
-    return validation.near_duplicate_pairs(_docs(spark, sf), "doc_id", "text")
+    return validation.near_duplicate_pairs(bind.table(spark, sf, "benchmark"), "item_id", "text")
+
+
+@query
+def near_duplicate_groups(spark, sf):
+    return validation.near_duplicate_groups(_docs(spark, sf), "doc_id", "text")
 
 
 @query

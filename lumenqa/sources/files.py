@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from html.parser import HTMLParser
-from collections.abc import Iterator
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 from typing import Any
 
 import pandas as pd
@@ -31,6 +33,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_json(row: dict[str, Any], path: str, ascii_only: bool = False) -> None:
     """One small report, indented, keys sorted."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         json.dump(row, f, indent=2, sort_keys=True, ensure_ascii=ascii_only, default=str)
         f.write("\n")
@@ -141,12 +144,13 @@ def page_text(page: str) -> str:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text): extracted and cleaned text of web pages."""
+    id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"page_id": f["page_id"], "raw": [page_text(h or "") for h in f["html"]]})
 
-    raw = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, "page_id long, raw string")
+    raw = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {id_type}, raw string")
     return raw.select("page_id", cleaning.clean_html_text(F.col("raw")).alias("text"))
 
 
@@ -169,6 +173,61 @@ def extract_pdf(files: DataFrame) -> DataFrame:
     return raw.select("snapshot_path", cleaning.clean_pdf_text(F.col("raw")).alias("text"))
 
 
+MANIFEST = "doc_id string, title string, source_type string, source_url string, snapshot_path string, sha256 string, fetched_at string, metadata_url string, topic string, reason string, extra map<string,string>"
+
+
+def download(url: str) -> bytes:
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=60) as reply:
+        return reply.read()
+
+
+def freeze_sources(spark: SparkSession, sources: DataFrame, raw_dir: str, refresh: bool = False, fetch: Callable[[str], bytes] = download) -> DataFrame:
+    """The snapshot manifest of the included sources: raw_dir/<doc_id>/source.<type> and its metadata.json.
+
+    A frozen file is used again unless ``refresh``; its earlier fetch time stays.  The registry is a
+    hand-written list, so this runs on the driver.
+    """
+    rows = []
+    for source in included(sources).withColumn("ending", extension(F.col("source_type"))).collect():
+        folder = Path(raw_dir) / source["doc_id"]
+        folder.mkdir(parents=True, exist_ok=True)
+        path, about = folder / f"source{source['ending']}", folder / "metadata.json"
+        fetched_at = None
+        if refresh or not path.exists():
+            path.write_bytes(fetch(source["source_url"]))
+        elif about.exists():
+            fetched_at = json.loads(about.read_text(encoding="utf-8")).get("fetched_at")
+        fetched_at = fetched_at or datetime.now(timezone.utc).isoformat(timespec="seconds")
+        row = {c: source[c] for c in ("doc_id", "title", "source_type", "source_url", "metadata_url", "topic", "reason", "extra")}
+        row |= {"snapshot_path": str(path), "sha256": hashlib.sha256(path.read_bytes()).hexdigest(), "fetched_at": fetched_at}
+        write_json(row, str(about))
+        rows.append(tuple(row[f.split()[0]] for f in MANIFEST.split(", ")))
+    return spark.createDataFrame(rows, MANIFEST)
+
+
+def build_documents(manifest: DataFrame) -> DataFrame:
+    """The manifest with the ``text`` of each snapshot, extracted by its type."""
+    spark = manifest.sparkSession
+    paths = [r[0] for r in manifest.select("snapshot_path").collect()]  # one per registered source
+    if not paths:
+        return manifest.withColumn("text", F.lit("")).limit(0)
+    content = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("__path"), "content")
+    at = F.regexp_replace("snapshot_path", "^file:/*", "/")
+    found = manifest.join(content, at == F.col("__path"))
+    html = found.filter("source_type = 'html'").withColumn("html", F.decode("content", "UTF-8"))
+    texts = extract_pages(html, "snapshot_path").withColumnRenamed("page_id", "snapshot_path")
+    if not manifest.filter("source_type = 'pdf'").isEmpty():
+        texts = texts.unionByName(extract_pdf(found.filter("source_type = 'pdf'")))
+    return manifest.join(texts, "snapshot_path").select(*manifest.columns, "text")
+
+
+def review_files(results_dir: str) -> list[str]:
+    """The review templates of a folder, by name."""
+    return sorted(str(p) for p in Path(results_dir).glob("generations_*_review_template.jsonl"))
+
+
 def reviewed_name(path: str) -> str:
     """The metrics file of a review template; other names are an error."""
     m = re.fullmatch(r"generations_(.+)_review_template", PurePosixPath(path).stem)
