@@ -71,6 +71,14 @@ def hex64(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of ``df`` starts with: helper columns named so clash with none."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_broadcast, written
+from .common import SPACE, bounded_broadcast, free_prefix, written
 
 #: Hits are broadcast up to this count (64 hex digits each: under 10 MB); above it they are shuffled.
 BROADCAST_HITS = 100_000
@@ -112,27 +112,27 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     decided = written(deduplicate(docs, id_col, text_col, label=label), label)
     gone = decided.filter(~F.col("kept"))
-    columns = docs.columns
+    columns, prefix = docs.columns, free_prefix(docs)
     # One counter per (id, digest): how many of its rows stay (0 or 1).
-    verdict = gone.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.lit(1).alias("__gone"))
-    kept_too = decided.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    drop = verdict.distinct().join(
-        kept_too, verdict["__id"].eqNullSafe(kept_too["__id"]) & (verdict["__digest"] == kept_too["__digest"]), "left_anti"
+    verdict = gone.select(F.col("doc_id").alias(prefix + "id"), F.col("digest").alias(prefix + "digest")).distinct()
+    kept_too = decided.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    drop = verdict.join(
+        kept_too, verdict[prefix + "id"].eqNullSafe(kept_too["kept_id"]) & (verdict[prefix + "digest"] == kept_too["kept_digest"]), "left_anti"
     )
     drop = bounded_broadcast(written(drop, label), BROADCAST_HITS)
-    tagged = docs.withColumn("__key", sha256(normalised(F.col(text_col))))
-    left = tagged.join(drop, tagged[id_col].eqNullSafe(drop["__id"]) & (F.col("__key") == drop["__digest"]), "left_anti")
-    return _once(left, decided, id_col, columns)
+    tagged = docs.withColumn(prefix + "key", sha256(normalised(F.col(text_col))))
+    left = tagged.join(drop, tagged[id_col].eqNullSafe(drop[prefix + "id"]) & (F.col(prefix + "key") == drop[prefix + "digest"]), "left_anti")
+    return _once(left, decided, id_col, columns, prefix)
 
 
-def _once(left: DataFrame, decided: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def _once(left: DataFrame, decided: DataFrame, id_col: str, columns: list[str], prefix: str) -> DataFrame:
     """Rows repeated under one id and digest are kept once; the test for such rows reads ids only."""
     again = decided.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if again.isEmpty():
         return left.select(*columns)
-    again = again.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    match = left[id_col].eqNullSafe(again["__id"]) & (F.col("__key") == again["__digest"])
+    again = again.select(F.col("doc_id").alias(prefix + "id"), F.col("digest").alias(prefix + "digest"))
+    match = left[id_col].eqNullSafe(again[prefix + "id"]) & (F.col(prefix + "key") == again[prefix + "digest"])
     alone = left.join(again, match, "left_anti").select(*columns)
-    first = F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("__row")
-    several = left.join(again, match, "left_semi").groupBy(F.col(id_col).alias("__id"), "__key").agg(first)
-    return alone.unionByName(several.select("__row.*"))
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias(prefix + "row")
+    several = left.join(again, match, "left_semi").groupBy(F.col(id_col).alias(prefix + "id"), prefix + "key").agg(first)
+    return alone.unionByName(several.select(prefix + "row.*"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, free_prefix, written
 
 EPS = 1e-9
 #: Level-0 rows a block, and blocks that meet in one of the next level.
@@ -209,16 +209,16 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Times are joined back by id; rows that repeat an id share their times, dealt in id order.
     """
-    times = written(mix(docs, id_col, text_col, source_col, label, **options), label).groupBy("doc_id").agg(
-        F.sum("times").alias("__times"), F.count(F.lit(1)).alias("__rows")
+    prefix = free_prefix(docs)
+    times = written(mix(docs, id_col, text_col, source_col, label, **options), label).groupBy(F.col("doc_id").alias(prefix + "id")).agg(
+        F.sum("times").alias(prefix + "times"), F.count(F.lit(1)).alias(prefix + "rows")
     )
-    times = times.withColumnRenamed("doc_id", "__id")
     columns = docs.columns
     # Every document has a row here, so this is a shuffled join at any size: one pass of the texts.
-    joined = docs.hint("merge").join(times.hint("merge"), docs[id_col].eqNullSafe(times["__id"]))
+    joined = docs.hint("merge").join(times.hint("merge"), docs[id_col].eqNullSafe(times[prefix + "id"]))
     # Rows that repeat an id (rare: the stages before this one keep ids unique) take the mean, rounded up.
-    each = F.ceil(F.col("__times") / F.col("__rows")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(each, F.lit(1))))).filter(each > 0).select(*columns)
+    each = F.ceil(F.col(prefix + "times") / F.col(prefix + "rows")).cast("int")
+    return joined.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.greatest(each, F.lit(1))))).filter(each > 0).select(*columns)
 
 
 __all__ = ["apply_mix", "balanced_counts", "flight", "land", "mix", "shares", "share_rounds", "sized_documents", "word_count"]

@@ -138,7 +138,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     clean = labels.filter(F.col("quality").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != 0))
     once = clean.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other")
     picked = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("__id"), "label")
-    return docs.join(F.broadcast(picked), docs["doc_id"] == picked["__id"]).select("doc_id", "text", "n_chars", "label")  # at most max_rows
+    rows = docs.select("doc_id", "text", "n_chars")  # other columns may have any name
+    return rows.join(F.broadcast(picked), rows["doc_id"] == picked["__id"]).select("doc_id", "text", "n_chars", "label")  # at most max_rows
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> Machine:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, hex64, written
+from .common import bounded_broadcast, free_prefix, hex64, written
 from .components import connected_components
 
 SEED = 42
@@ -136,6 +136,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id stay (they can't be told apart by id).
     """
     groups = near_duplicates(docs, id_col, text_col, label=label, **options)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    name = free_prefix(docs) + "gone"
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
     gone = bounded_broadcast(written(gone, label), BROADCAST_IDS)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

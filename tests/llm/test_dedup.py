@@ -182,3 +182,21 @@ def test_line_boundaries_resist_shifts(spark):
     chunks = line_dedup.chunked(table(spark, rows), "doc_id", "text").collect()
     one, two = ({r["chunk"] for r in chunks if r["doc_id"] == i} for i in (1, 2))
     assert len(one & two) >= len(one) - 2
+
+
+def test_stages_with_clashing_columns(spark):
+    """Extra columns named like the helpers of a stage stay as they are and change no decision."""
+    import corpus_pipeline
+    from lumenqa.llm import mixing, quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    names = "label other digest kept_id row_id size times fp component_id __id __key __digest __gone __copy __times __rows __row".split()
+    more = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    stages = (lambda d: quality.keep_good(d, labels), exact_dedup.keep_first, simhash.keep_representatives, mixing.apply_mix)
+    assert len(stages) == len(corpus_pipeline.STAGES) - 1
+    for stage in stages:
+        got = stage(more)
+        assert got.columns == more.columns
+        assert got.filter(" or ".join(f"not `{n}` <=> '{n}'" for n in names)).isEmpty()
+        assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in stage(docs).select("doc_id").collect())
