@@ -29,7 +29,7 @@ def tokenizer_path() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return line_dedup.remove_repeats(read(spark, sf_dir, "documents"), cut=line_dedup.line_pairs)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

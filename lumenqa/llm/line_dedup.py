@@ -6,11 +6,17 @@ a passage move no boundary inside it.  Chunks have two lines at least, but for t
 of a text.  Multi-line chunks whose hash occurs more than once are compared byte by byte, and all
 but the first occurrence (smallest id, then position) are removed.
 
+An end needs lines beyond a short passage, so :func:`chunked` misses most passages of a few lines.
+:func:`line_pairs` is the densest cut: each two adjacent lines are a chunk, whose boundaries depend on
+its own lines alone.  Chunks overlap, so the matched ones join up to the whole of each repeated run.
+
 Hashes are counted with map-side aggregation; only chunks that share a hash are shuffled as text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +62,27 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("hash", F.xxhash64("chunk"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup") -> DataFrame:
+def line_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As :func:`chunked`, with each two adjacent lines as a chunk; two lines of white space are none."""
+    base = docs.filter(F.instr(F.col(text_col), "\n") > 0).select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.split(F.col(text_col), "\n", -1).alias("lines")
+    )
+    pairs = F.transform(
+        F.slice("lines", F.lit(1), F.size("lines") - 1),
+        lambda line, i: F.struct(i.alias("start"), F.concat(line, F.lit("\n"), F.get("lines", i + 1)).alias("chunk")),
+    )
+    # The lines stay behind here: only the pair itself is copied to its row.
+    rows = base.select("doc_id", "mark", pairs.alias("pairs")).select("doc_id", "mark", F.explode("pairs").alias("pair"))
+    rows = rows.select("doc_id", "mark", "pair.start", F.lit(2).alias("n"), "pair.chunk")
+    return rows.filter(F.btrim("chunk", F.lit(" \t\n\x0b\x0c\r")) != "").withColumn("hash", F.xxhash64("chunk"))
+
+
+Cut = Callable[[DataFrame, str, str], DataFrame]
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup", cut: Cut = chunked) -> DataFrame:
     """(doc_id, mark, gone): per changed document the spans (start, n) to remove."""
-    chunks = chunked(docs, id_col, text_col)
+    chunks = cut(docs, id_col, text_col)
     again = written(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash"), label)
     rows = written(chunks.join(bounded_broadcast(again, BROADCAST_HASHES), "hash", "left_semi"), label)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "start")
@@ -68,21 +92,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return written(later.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("gone")), label)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup", cut: Cut = chunked) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without repeated chunks, n_lines, removed_lines.
 
+    With ``cut=line_pairs`` each later occurrence of a repeated run of two or more lines goes whole.
+
     A null text stays null with no lines; an empty text has one empty line; null ids count as larger
     than any other.  Rows that repeat both id and text are one document and get the same result.  A
     text of one line is never changed, as chunks have more than one.
     """
-    gone = bounded_broadcast(repeats(docs, id_col, text_col, label), BROADCAST_DOCS)
+    gone = bounded_broadcast(repeats(docs, id_col, text_col, label, cut), BROADCAST_DOCS)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "gone")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     met = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda line, i: ~F.exists("gone", lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
-    removed = F.coalesce(F.aggregate("gone", F.lit(0), lambda total, s: total + s["n"]), F.lit(0))
+    # Spans may overlap; sets of line numbers keep this linear in the lines of a text.
+    spans = F.transform("gone", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))
+    met = met.withColumn("gone", F.array_distinct(F.flatten(spans)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.transform(kept, lambda i: F.get(F.col("lines"), i))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    met = met.withColumn("lines", lines)
     return met.select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), removed.cast("long").alias("removed_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), removed.cast("long").alias("removed_lines"),
     )

@@ -184,6 +184,31 @@ def test_line_boundaries_resist_shifts(spark):
     assert len(one & two) >= len(one) - 2
 
 
+def test_every_repeated_run_goes(spark, tmp_path):
+    """op1 against brute force over runs of two or more lines: any length, at any place of a text."""
+    from lumenqa.llm import catalogue
+
+    rng = random.Random(6)
+    line = lambda: f"line {rng.random()}"
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 5, 9)]
+    rows = [(i, "\n".join([line() for _ in range(rng.randint(0, 3))] + passages[i % 6] + [line() for _ in range(rng.randint(0, 3))])) for i in range(36)]
+    rows += [(50, "a\na\na\na"), (51, "a\na"), (52, "x\n\n\ny"), (53, "z\n\n\nw"), (54, None), (55, "q"), (56, "q"), (None, "\n".join(passages[2]))]
+    rows += [(60, "\n".join(passages[3])), (61, passages[0][0] + "\nalone\n" + passages[0][1])]
+    seen, want = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines, gone = (t or "").split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if any(pair):
+                gone |= {k, k + 1} if pair in seen else set()
+                seen.add(pair)
+        want.append((i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    table(spark, rows).select("doc_id", "text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.op1_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["removed_lines"]) for r in got))) == sorted(map(str, want))
+    assert sum(n for *_, n in want) >= 30 * 2
+    assert {x[0]: x[1] for x in want}[53] == "z\n\n\nw"
+
+
 def test_stages_with_clashing_columns(spark):
     """Extra columns named like the helpers of a stage stay as they are and change no decision."""
     import corpus_pipeline
