@@ -26,9 +26,16 @@ from pyspark.sql import functions as F
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Formulas are text of the paragraph they stand in; of an annotation (their source in another notation) nothing is shown.
+MATH = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics".split()
+)
+ANNOTATION = ("annotation", "annotation-xml")
+#: What may stand in a head; any other start tag, or text, ends an open one.
+IN_HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-HIDDEN = frozenset("script style noscript template svg math head title object iframe canvas audio video textarea select option datalist button".split())
+HIDDEN = frozenset("script style noscript template svg head title object iframe canvas audio video textarea select option datalist button".split())
 RAW = frozenset("script style textarea title".split())
 #: A start tag here ends an open p; the others end an open element of their own kind.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -70,8 +77,16 @@ def blocks(page: str | None) -> list[Block]:
             out.append(Block(text, stack[-1][0] if stack else "body", tuple(names), min(linked, len(text))))
         linked = 0
 
+    def end_head() -> None:
+        nonlocal hidden
+        if stack and stack[-1][0] == "head":
+            stack.pop()
+            hidden -= 1
+
     def text(piece: str) -> None:
         nonlocal linked
+        if hidden and piece.strip():
+            end_head()
         if piece and not hidden:
             buffer.append(piece)
             if depth:
@@ -92,7 +107,13 @@ def blocks(page: str | None) -> list[Block]:
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if tag in INLINE:
+        if not closing and tag not in IN_HEAD:
+            end_head()
+        if tag in ANNOTATION:
+            end = None if closing else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else at
+            continue
+        if tag in INLINE or tag in MATH:
             if tag == "br":
                 text(" ")
             elif tag == "a":

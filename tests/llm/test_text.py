@@ -116,6 +116,23 @@ def test_blocks():
     assert [b.text for b in html_text.blocks("a<b>c <1 d &am")] == ["ac <1 d &am"]
 
 
+def test_blocks_without_head_end():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    start = "<html><head><meta charset=utf-8><title>t</title><style>p{}</style> "
+    for rest in ("<body><h1>A</h1><p>b</p></body></html>", "<h1>A</h1><p>b</p>", "<body><article><h1>A</h1><p>b", "<b>A</b><p>b", "A<p>b"):
+        assert texts(start + rest) == ["A", "b"], rest
+        assert texts(start + "</head>" + rest) == ["A", "b"], rest
+    assert not any("t:head" in b.names for b in html_text.blocks(start + "<body><p>b"))
+    assert texts(start + "<noscript><img src=x>no</noscript><script>'<p>'</script><p>b") == ["b"]
+    page = start + "<body><nav><a>x</a></nav><article><h1>T</h1><p>One  two</p><p>Three.</p></article><footer>&copy; z</footer>"
+    assert html_text.main_text(page, html_text.default_chain()) == "T\nOne two\nThree."
+
+
+def test_blocks_keep_formulas():
+    page = "<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>x = 2 <i>t</i></annotation></semantics></math> holds</p>"
+    assert [b.text for b in html_text.blocks(page)] == ["so x=2 holds"]
+
+
 def test_chain_held_out_accuracy():
     chain = html_text.default_chain()
     right = total = 0
