@@ -9,6 +9,8 @@ permutation of the valid values of a format, so equal values stay equal, and dif
 different, across documents.
 
 Numbers are validated first (Luhn, ISO 7064 mod 97, octets, calendar); what fails stays as it is.
+A card may stand next to other numbers, so the recogniser takes the whole run of digit groups and
+:func:`_cards` looks for the valid cards in it.
 """
 
 from __future__ import annotations
@@ -35,8 +37,14 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iso_date": r"(?<![\d-])\d{4}[-/.]\d{2}[-/.]\d{2}(?!\d)",
     "day_date": r"(?<![\d.])\d{1,2}[-/.]\d{1,2}[-/.]\d{4}(?!\d)",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])",
+    # National numbers of North America; the digits get the pseudonym they have after +1.
+    "local_phone": r"(?<![\w+.(-])(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[.-])\d{3}[.-]\d{4}(?![\d-])",
 }
+#: A run of digit groups with 13 digits at least; a group in which another value begins is not of it.
+RUN_GROUPS = 400
+PATTERNS["card"] = (
+    r"(?<![\d.-])(?=\d(?:[ -]?\d){12})\d++(?:[ -](?!" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + rf")\d++){{0,{RUN_GROUPS}}}+"
+)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -134,12 +142,78 @@ def _card(value: Column, key: str) -> Column:
     def of(digits: Column) -> Column:
         payload = F.slice(digits, F.lit(1), F.size(digits) - 1)
         moved = feistel(payload, _radices(F.size(digits) - 1, 10), key, "card")
-        made = _let(moved, lambda m: _refill(value, F.concat(m, F.array(F.pmod(-luhn_sum(m, 0), F.lit(10)).cast("int")))))
-        return F.when(luhn_sum(digits, 1) % 10 == 0, made).otherwise(value)
+        return _let(moved, lambda m: _refill(value, F.concat(m, F.array(F.pmod(-luhn_sum(m, 0), F.lit(10)).cast("int")))))
 
     return _let(_numbers(value), of)
 
 
+#: How the digits of a card are grouped in print.
+LAYOUTS = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3", *map(str, range(13, 20)))
+
+
+def _spans(run: Column) -> Column:
+    """The valid cards of a run of digit groups, best first: (rank, a, back, b) for characters a to b - 1.
+
+    A card is some adjacent groups of 13 to 19 digits in all that pass Luhn.  Printed layouts come
+    first, then the longest such groups from the start of the run, then any others of three digits and more
+    a group (shorter ones are mostly tables).  Within a rank the earliest and then the longest is best.
+    """
+
+    def of(sizes: Column) -> Column:
+        def total(i: Column, k: Column) -> Column:
+            return F.aggregate(F.slice(sizes, i + 1, k), F.lit(0), lambda t, n: t + n)
+
+        def groups(i: Column) -> Column:
+            return F.sequence(F.lit(1), F.least(F.lit(19), F.size(sizes) - i))
+
+        first = F.size(F.filter(groups(F.lit(0)), lambda k: total(F.lit(0), k) <= 19))
+
+        def reach(_: Column, i: Column) -> Column:
+            def candidate(k: Column, n: Column, a: Column) -> Column:
+                own = F.slice(sizes, i + 1, k)
+                layout = F.array_join(own.cast("array<string>"), "-").isin(*LAYOUTS)
+                rank = F.when(layout, 0).when((i == 0) & (k == first), 1).when(F.array_min(own) >= 3, 2)
+                rank = F.when(n.between(13, 19), rank)
+                return F.struct(rank.alias("rank"), a.alias("a"), (-k).alias("back"), (a + n + k - 1).alias("b"))
+
+            # Before group i stand the digits of i groups and i separators.
+            return _let(total(F.lit(0), i) + i, lambda a: F.transform(groups(i), lambda k: _let(total(i, k), lambda n: candidate(k, n, a))))
+
+        found = F.filter(F.flatten(F.transform(sizes, reach)), lambda x: x["rank"].isNotNull())
+        valid = lambda x: _let(_numbers(F.substring(run, x["a"] + 1, x["b"] - x["a"])), lambda d: luhn_sum(d, 1) % 10 == 0)
+        return F.array_sort(F.filter(found, valid))
+
+    return _let(F.transform(F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0)), lambda g: F.char_length(g)), of)
+
+
+def _cards(run: Column, key: str) -> Column:
+    """A run of digit groups with its cards replaced; the best ones are taken, and no two overlap."""
+
+    def of(spans: Column) -> Column:
+        none = F.array().cast("array<struct<a:int,b:int>>")
+        chosen = F.aggregate(
+            spans,
+            none,
+            lambda had, x: F.when(F.exists(had, lambda y: (x["a"] < y["b"]) & (y["a"] < x["b"])), had).otherwise(
+                F.concat(had, F.array(F.struct(x["a"].cast("int").alias("a"), x["b"].cast("int").alias("b"))))
+            ),
+            lambda had: F.array_sort(had),
+        )
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        step = lambda s, x: F.struct(
+            F.concat(s["out"], F.substring(run, s["at"] + 1, x["a"] - s["at"]), _card(F.substring(run, x["a"] + 1, x["b"] - x["a"]), key)).alias("out"),
+            x["b"].alias("at"),
+        )
+        return F.aggregate(chosen, start, step, lambda s: F.concat(s["out"], F.substring(run, s["at"] + 1, F.char_length(run))))
+
+    return _let(_spans(run), lambda spans: F.when(F.size(spans) > 0, of(spans)).otherwise(run))
+
+
+def _local_phone(value: Column, key: str) -> Column:
+    moved = _let(_numbers(value), lambda d: feistel(d, _radices(F.size(d), 10), key, "phone"))
+    return _let(moved, lambda m: _refill(value, m))
+
+
 def _iban(value: Column, key: str) -> Column:
     def of(plain: Column) -> Column:
         country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.char_length(plain))
@@ -236,7 +310,7 @@ def _token(value: Column, key: str) -> Column:
     return F.when(value.rlike("[A-F]"), F.upper(made)).otherwise(made)
 
 
-_MAKERS = {"email": _email, "token": _token, "iban": _iban, "phone": _phone, "ip": _ip, "ssn": _ssn, "iso_date": _date, "day_date": _date, "card": _card}
+_MAKERS = {"email": _email, "token": _token, "iban": _iban, "phone": _phone, "ip": _ip, "ssn": _ssn, "iso_date": _date, "day_date": _date, "local_phone": _local_phone, "card": _cards}
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -251,8 +325,8 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text with pseudonyms, n_found, n_changed.
 
-    n_found counts recognised values, n_changed those replaced: a value that fails validation stays,
-    and so does one that the permutation happens to map to itself.  A null text stays null with zero
+    n_found counts recognised values (a run of numbers with cards in it is one), n_changed those
+    replaced: a value that fails validation stays, and so does one that the permutation happens to map to itself.  A null text stays null with zero
     counts.  One pass, no shuffle; repeated rows give repeated results.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -101,6 +101,38 @@ def test_pii_is_a_permutation(spark):
     assert sorted(r["m"][0] for r in one) == list(range(7))
 
 
+def test_pii_cards_next_to_numbers(spark):
+    """A card gets the same pseudonym wherever it stands; what stands next to it stays."""
+    plain, other = "4111111111111111", "378282246310005"
+    texts = [
+        plain, other, "4111 1111 1111 1111 123", "7 4111111111111111", "12-4111-1111-1111-1111-9", "4111 1111 1111 1111 2024-02-29", "3782 822463 10005 1234",
+        "4111 1111 1111 1111 3782 822463 10005", "411111 1111111111 0826", "5 4111 1111 1111 1111 12 2025", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "4111 1111 1111 1111 29.02.2024",
+    ]
+    chance = next(f"{i} 4111 1111 1111 1111" for i in range(10, 1000) if luhn(f"{i}{plain}"))  # the longer run passes, too
+    texts += [chance, "9" * 30_000 + " x " + "12 " * 3_000]
+    out = replaced(spark, texts)
+    got = [out[i]["text"] for i in range(len(texts))]
+    a, b = got[0], got[1]
+    groups = f"{a[:4]} {a[4:8]} {a[8:12]} {a[12:]}"
+    assert a != plain and luhn(a) and b != other and luhn(b)
+    assert got[2] == f"{groups} 123" and got[3] == f"7 {a}" and got[4] == f"12-{groups.replace(' ', '-')}-9"
+    day = got[5].removeprefix(f"{groups} ")
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d", day) and day != "2024-02-29"
+    assert got[6] == f"{b[:4]} {b[4:10]} {b[10:]} 1234" and got[7] == f"{groups} {b[:4]} {b[4:10]} {b[10:]}"
+    assert got[8] == f"{a[:6]} {a[6:]} 0826" and got[9] == f"5 {groups} 12 2025"
+    assert re.fullmatch(re.escape(groups) + r" \d\d\.\d\d\.\d{4}", got[11]) and not got[11].endswith("29.02.2024")
+    assert got[12] == chance.split()[0] + " " + groups
+
+
+def test_pii_national_phones(spark):
+    out = replaced(spark, ["+1 (743) 555-3824", "(743) 555-3824", "at 743-555-3824.", "743.555.3824", "1743-555-3824 and 043-555-3824"])
+    number = out[0]["text"].removeprefix("+1 ")
+    digits = re.sub(r"\D", "", number)
+    assert digits != "7435553824" and out[1]["text"] == number
+    assert out[2]["text"] == f"at {digits[:3]}-{digits[3:6]}-{digits[6:]}." and out[3]["text"] == f"{digits[:3]}.{digits[3:6]}.{digits[6:]}"
+    assert out[4]["n_found"] == 0
+
+
 def test_pii_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
