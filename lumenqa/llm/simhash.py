@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_broadcast, free_prefix, hex64, written
 from .components import connected_components
@@ -120,23 +121,58 @@ def near_duplicates(
     Texts without words share the fingerprint zero and are linked like any others.  Repeated rows
     give repeated results; an empty table gives none.  Other columns are not read.
     """
+    groups = _grouped(docs, id_col, text_col, shingle, distance, blocks, bucket_rows, label)
+    return groups.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, distance: int = 2, blocks: int = 5, bucket_rows: int = 32, label: str = "simhash"
+) -> DataFrame:
+    """(doc_id, fp, root, component_id) of each row; root is the component's least fingerprint."""
     marks = written(fingerprints(docs, id_col, text_col, shingle), label)
     classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), label)
     found = connected_components(links(classes.select("fp"), label, distance, blocks, bucket_rows), label)
     rooted = classes.join(found, classes["fp"] == found["node"], "left")
     rooted = written(rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root")), label)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return marks.join(classes, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    classes = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marks.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "simhash", **options: int) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id is the component id.
+    """``docs`` with one row of each group: one whose id is the component id.
 
-    Rows with a null id stay (they can't be told apart by id).
+    Rows with a null id stay (they can't be told apart by id).  Rows that repeat an id are decided by id
+    and fingerprint, so a near copy under an id leaves another text under it alone.
     """
-    groups = near_duplicates(docs, id_col, text_col, label=label, **options)
-    name = free_prefix(docs) + "gone"
+    groups = written(_grouped(docs, id_col, text_col, label=label, **options), label)
+    prefix = free_prefix(docs)
+    name = prefix + "gone"
+    several = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = written(several.select(F.col("doc_id").alias(name)), label)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    repeated = not several.isEmpty()
+    if repeated:  # all rows of a repeated id leave the main path
+        gone = gone.unionByName(several).distinct()
     gone = bounded_broadcast(written(gone, label), BROADCAST_IDS)
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    left = docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    return left.unionByName(_first_rows(docs, groups, several, id_col, text_col, prefix, options.get("shingle", 3))) if repeated else left
+
+
+def _first_rows(docs: DataFrame, groups: DataFrame, several: DataFrame, id_col: str, text_col: str, prefix: str, shingle: int) -> DataFrame:
+    """Of the rows under repeated ids, one for each component that has its smallest id there."""
+    several = bounded_broadcast(several, BROADCAST_IDS)
+    rows = docs.join(several, docs[id_col] == several[prefix + "gone"], "left_semi")
+    at, name = docs.columns.index(text_col), prefix + "fp"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, name])
+
+    rows = rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    roots = groups.filter(F.col("doc_id") == F.col("component_id")).join(several, F.col("doc_id") == F.col(prefix + "gone"), "left_semi")
+    roots = roots.select(F.col("doc_id").alias(prefix + "id"), F.col("fp").alias(prefix + "mark"), F.col("root").alias(prefix + "root")).distinct()
+    met = rows.join(roots, (rows[id_col] == roots[prefix + "id"]) & (rows[name] == roots[prefix + "mark"]))
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(prefix + "row")
+    return met.groupBy(prefix + "root").agg(first).select(prefix + "row.*")

@@ -125,6 +125,16 @@ def test_near_duplicates_end_to_end(spark):
     assert {r["doc_id"] for r in kept.collect()} == {w[2] for w in want if w[0] == w[2]} | {None}
 
 
+def test_representatives_of_repeated_ids(spark):
+    """A near copy under an id takes no other text under it along, and each component keeps one row."""
+    own = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(1, own("a")), (5, own("a").upper()), (5, own("b")), (7, own("c")), (7, own("c")), (7, own("d")), (8, own("d").upper()), (9, own("e")), (None, own("a"))]
+    got = simhash.keep_representatives(table(spark, rows).repartition(3))
+    assert got.columns == ["doc_id", "text", "kept", "digest"]
+    want = [(1, own("a")), (5, own("b")), (7, own("c")), (7, own("d")), (9, own("e")), (None, own("a"))]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links, "test").collect()}
