@@ -18,11 +18,13 @@ import random
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_prefix, written
+from .common import SPACE, bounded_broadcast, free_prefix, written
 
+#: Ids of several rows are broadcast up to this count.
+BROADCAST_REPEATED = 500_000
 EPS = 1e-9
 #: Level-0 rows a block, and blocks that meet in one of the next level.
 BLOCK_ROWS, FAN_IN = 256, 128
@@ -207,18 +209,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", label: str = "mixing", **options) -> DataFrame:
     """``docs`` as mixed: each row as often as it is taken, with its own columns.
 
-    Times are joined back by id; rows that repeat an id share their times, dealt in id order.
+    Times are joined back by id; rows that repeat an id are told apart by source, size and number.
     """
-    prefix = free_prefix(docs)
-    times = written(mix(docs, id_col, text_col, source_col, label, **options), label).groupBy(F.col("doc_id").alias(prefix + "id")).agg(
-        F.sum("times").alias(prefix + "times"), F.count(F.lit(1)).alias(prefix + "rows")
-    )
-    columns = docs.columns
+    prefix, columns = free_prefix(docs), docs.columns
+    at, own, words, number, times = (prefix + x for x in ("id", "source", "size", "number", "times"))
+    sized = written(sized_documents(docs, id_col, text_col, source_col), label)
+    counts = written(balanced_counts(sized, label=label, **options), label)
+    again = written(counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), label)
+    repeated = not again.isEmpty()
+    again = bounded_broadcast(again.select(F.col("doc_id").alias(at)), BROADCAST_REPEATED)
+    by_id = counts.select(F.col("doc_id").alias(own), F.col("times").alias(times))
+    alone = docs
+    if repeated:
+        alone = docs.join(again, docs[id_col].eqNullSafe(again[at]), "left_anti")
+        by_id = by_id.join(again, by_id[own].eqNullSafe(again[at]), "left_anti")
     # Every document has a row here, so this is a shuffled join at any size: one pass of the texts.
-    joined = docs.hint("merge").join(times.hint("merge"), docs[id_col].eqNullSafe(times[prefix + "id"]))
-    # Rows that repeat an id (rare: the stages before this one keep ids unique) take the mean, rounded up.
-    each = F.ceil(F.col(prefix + "times") / F.col(prefix + "rows")).cast("int")
-    return joined.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.greatest(each, F.lit(1))))).filter(each > 0).select(*columns)
+    joined = alone.hint("merge").join(by_id.hint("merge"), alone[id_col].eqNullSafe(by_id[own])).select(*columns, times)
+    if repeated:
+        # Rows alike in id, source and size weigh the same: whichever of them gets which times, all totals hold.
+        rows = docs.join(again, docs[id_col].eqNullSafe(again[at]), "left_semi")
+        rows = rows.withColumns({own: F.col(source_col).cast("string"), words: word_count(F.col(text_col))})
+        rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(id_col, own, words).orderBy(F.xxhash64(text_col))))
+        deal = counts.join(sized.select("row_id", "source"), "row_id").join(again, counts["doc_id"].eqNullSafe(again[at]), "left_semi")
+        deal = deal.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("row_id")))
+        deal = deal.select(*[F.col(c).alias(prefix + "of_" + c) for c in ("doc_id", "source", "size", "number")], F.col("times").alias(times))
+        keys = zip((id_col, own, words, number), ("doc_id", "source", "size", "number"), strict=True)
+        same = [rows[a].eqNullSafe(deal[prefix + "of_" + b]) for a, b in keys]
+        joined = joined.unionByName(rows.join(deal, same).select(*columns, times))
+    return joined.filter(F.col(times) > 0).withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*columns)
 
 
 __all__ = ["apply_mix", "balanced_counts", "flight", "land", "mix", "shares", "share_rounds", "sized_documents", "word_count"]

@@ -64,6 +64,23 @@ def test_mix_edges(spark):
     assert applied.columns == ["doc_id", "text", "source", "size", "target"]
 
 
+def test_apply_mix_with_repeated_and_null_ids(spark):
+    """Each source meets its own target where rows of all sources share an id or have none."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(["w"] * (3 + i % 5)), "abc"[i * i % 7 % 3]) for i in range(300)]
+    made = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, times int")
+    size = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in {r[2] for r in rows}}
+    target = {r["source_size"]: r["target"] for r in mixing.mix(made).collect()}
+    got = mixing.apply_mix(made.repartition(3)).collect()
+    taken, each = Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+        each[(r["doc_id"], r["text"], r["source"])] += 1
+    assert len(set(size.values())) == len(size)
+    for s, n in size.items():
+        assert abs(taken[s] - target[n]) <= 7, (s, taken[s], target[n])
+    assert set(each) <= {tuple(r) for r in rows}
+
+
 def test_mix_query(spark):
     out = catalogue.op9_source_mixing(spark, SF).collect()
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
