@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Results depend on these lists and patterns being exactly so.
-TOKEN = r"\d+(?:\.\d+)+|[a-z0-9]+(?:['-][a-z0-9]+)*"
+# Quantifiers are possessive: they match the same tokens, and a long one takes no stack.
+TOKEN = r"\d++(?:\.\d++)++|[a-z0-9]++(?:['-][a-z0-9]++)*+"
 STOPWORDS = (
-    "a about after all also an and any are as at be by can do does for from how if in into is it its on or that the their "
-    "there these this to under what when where which while who whom with"
-).split()
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "by", "can", "do", "does", "for", "from", "how", "if", "in", "into", "is", "it",
+    "its", "on", "or", "that", "the", "their", "there", "these", "this", "to", "under", "what", "when", "where", "which", "while", "who", "whom", "with",
+)
 EXPANSIONS = {
     "leave of absence": ["loa", "hloa", "ploa"],
     "title iv": ["withdrawal", "enrollment", "status"],
@@ -21,6 +22,8 @@ METADATA_PREFIXES = (
     "Volume:", "Chapter:", "Responsible Executive:", "Responsible Office", "Originally Issued:", "Current Version Approved:", "Last Updated:",
 )
 
+#: Where lines end: a Java pattern.
+LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: Unicode white space, as a Java class.
 SPACES = r"(?U)\s+"
 
@@ -51,7 +54,7 @@ def fold_query(text: Column) -> Column:
 def tokens(text: Column, remove_stopwords: bool = True) -> Column:
     """Tokens in order; null text gives none."""
     found = F.regexp_extract_all(fold_query(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    found = F.transform(found, lambda w: F.regexp_replace(w, "(?<=.)'s$", ""))
+    found = F.transform(found, lambda w: F.when(F.endswith(w, F.lit("'s")), F.substring(w, F.lit(1), F.char_length(w) - 2)).otherwise(w))
     return F.filter(found, lambda w: ~w.isin(*STOPWORDS)) if remove_stopwords else found
 
 
@@ -108,7 +111,7 @@ def is_lettered_heading(line: Column) -> Column:
 
 def is_section_heading(line: Column, not_headings: tuple[str, ...] = ("POLICY LIBRARY", "MOST CURRENT VERSION OF THIS POLICY")) -> Column:
     """What starts a section when documents are cut into passages; ``line`` is stripped."""
-    numbered = line.rlike(r"^\d+(?:\.\d+)+\s+[A-Z][A-Za-z]") & (word_count(line) <= 14)
+    numbered = line.rlike(r"^\d++(?:\.\d++)++\s+[A-Z][A-Za-z]") & (word_count(line) <= 14)
     roman = line.rlike(r"^(#{1,4}\s+)?[IVXLCDM]+\.\s+\S+")
     named = line.rlike(r"(?i)^(Article|Section|Part)\s+[A-Z0-9IVXLCDM]+")
     letters = F.regexp_count(line, F.lit(r"\p{L}"))

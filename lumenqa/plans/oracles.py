@@ -265,18 +265,79 @@ UNANSWERABLE = (
 )
 PREVIEW = lambda x: rf"substr({strip(rf'''regexp_replace({x}, '\s+', ' ', 'g')''')}, 1, 500)"
 
-BLOCKS = rf"""
-WITH lines AS (
+BLOCK_ROWS = rf"""lines AS (
   SELECT doc_id, pos, {strip("line")} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
 ), kinds AS (
   SELECT *, CASE WHEN line = '' OR starts_with(line, '[Page ') THEN 'gap' WHEN ends_with(lower(line), ', continued') OR {METADATA} THEN 'skip' WHEN {HEADING} THEN 'heading' ELSE 'text' END AS kind FROM lines
 ), islands AS (
   SELECT *, last_value(CASE WHEN kind = 'heading' THEN {strip("regexp_replace(line, '^#+', '')")} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section,
     sum((kind IN ('gap', 'heading'))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM kinds
-)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS block_index, coalesce(section, '') AS section, md5(string_agg(line, ' ' ORDER BY pos)) AS digest
-FROM islands WHERE kind = 'text' GROUP BY doc_id, island, section
-"""
+), blocks AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS block_index, section, string_agg(line, ' ' ORDER BY pos) AS block
+  FROM islands WHERE kind = 'text' GROUP BY doc_id, island, section
+)"""
+BLOCKS = f"WITH {BLOCK_ROWS} SELECT doc_id, block_index, coalesce(section, '') AS section, md5(block) AS digest FROM blocks"
+
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(block, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+def _ended(text: str, section: str, done: str, prefix: str) -> str:
+    """What an ended passage leaves: the passages so far and the words that lead the next one."""
+    body, own = text, f"coalesce({section}, '')"
+    front = rf"""({words(body)} < 50 AND (NOT regexp_matches({body}, '[a-z]{{2,}}[^.!?]*[.!?]')
+      OR ({section} IS NULL AND regexp_matches(lower({body}), 'approved by the board|effective august|posted for campus notice|policy library'))))"""
+    full = f"(CASE WHEN {own} = '' OR starts_with({body}, {own}) THEN {body} ELSE {own} || chr(10) || chr(10) || {body} END)"
+    tail = rf"array_to_string(regexp_extract_all({full}, '\S+')[-50:], ' ')"
+    return (
+        f"CASE WHEN {front} THEN {done} ELSE list_append({done}, struct_pack(section := {section}, text := {full})) END AS {prefix}done, "
+        f"CASE WHEN {front} THEN NULL ELSE {tail} END AS {prefix}lead"
+    )
+
+
+def _body(first: str, end: str, lead: str) -> str:
+    """Pieces first to end - 1, counted from 0, after the words that lead them."""
+    blocks = f"array_to_string(list_transform(p[{first} + 1 : {end}], lambda x: x.block), chr(10) || chr(10))"
+    return f"concat_ws(chr(10) || chr(10), nullif({lead}, ''), {blocks})"
+
+
+#: Sentences are dealt to pieces, then pieces to passages, one a step of each recursion.
+PASSAGES = rf"""{BLOCK_ROWS}, long_blocks AS (
+  SELECT doc_id, block_index, section, {_SENTENCES} AS s FROM blocks WHERE {words('block')} > 380
+), dealt(doc_id, block_index, section, s, i, size, k, piece) AS (
+  SELECT doc_id, block_index, section, s, 0, 0, -1, NULL::VARCHAR FROM long_blocks
+  UNION ALL
+  SELECT doc_id, block_index, section, s, i + 1, CASE WHEN i = 0 OR size + n > 380 THEN n ELSE size + n END, CASE WHEN i = 0 OR size + n > 380 THEN k + 1 ELSE k END, s[i + 1]
+  FROM (SELECT *, {words('s[i + 1]')} AS n FROM dealt WHERE i < len(s))
+), whole AS (
+  SELECT doc_id, block_index, section, k, string_agg(piece, ' ' ORDER BY i) AS block, count(*) AS parts FROM dealt WHERE i > 0 GROUP BY ALL
+), cut AS (
+  SELECT doc_id, block_index, section, k, 0 AS w, block FROM whole WHERE parts > 1 OR {words('block')} <= 380
+  UNION ALL SELECT doc_id, block_index, section, k, w, array_to_string(v[w + 1 : w + 380], ' ')
+  FROM (SELECT *, unnest(range(0, len(v), 380)) AS w FROM (SELECT *, regexp_extract_all(block, '\S+') AS v FROM whole WHERE parts = 1 AND {words('block')} > 380))
+  UNION ALL SELECT doc_id, block_index, section, 0, 0, block FROM blocks WHERE {words('block')} <= 380
+), lists AS (
+  SELECT doc_id, list(struct_pack(section := section, block := block, n := {words('block')}) ORDER BY block_index, k, w) AS p FROM cut GROUP BY doc_id
+), fold(doc_id, p, i, at_, size, lead, done) AS (
+  SELECT doc_id, p, 0, -1, 0, NULL::VARCHAR, []::STRUCT(section VARCHAR, text VARCHAR)[] FROM lists
+  UNION ALL
+  SELECT doc_id, p, i + 1, CASE WHEN size3 >= 320 THEN -1 ELSE at3 END, CASE WHEN size3 >= 320 THEN 0 ELSE size3 END::INT,
+    CASE WHEN size3 >= 320 THEN elead ELSE lead3 END, CASE WHEN size3 >= 320 THEN edone ELSE done3 END
+  FROM (
+    SELECT *, {_ended(_body('at3', '(i + 1)', 'lead3'), 'p[at3 + 1].section', 'done3', 'e')} FROM (
+      SELECT *, CASE WHEN at2 < 0 THEN i ELSE at2 END AS at3, CASE WHEN at2 < 0 THEN coalesce({words('lead2')}, 0) + p[i + 1].n ELSE size + p[i + 1].n END AS size3, lead2 AS lead3, done2 AS done3 FROM (
+        SELECT *, CASE WHEN other OR over_ THEN -1 ELSE at_ END AS at2, CASE WHEN other THEN NULL WHEN over_ THEN blead ELSE lead END AS lead2, CASE WHEN other OR over_ THEN bdone ELSE done END AS done2 FROM (
+          SELECT *, at_ >= 0 AND p[i + 1].section IS DISTINCT FROM p[at_ + 1].section AS other, at_ >= 0 AND size + p[i + 1].n > 380 AS over_,
+            {_ended(_body('at_', 'i', 'lead'), 'p[at_ + 1].section', 'done', 'b')}
+          FROM fold WHERE i < len(p)
+        )
+      )
+    )
+  )
+), passages AS (
+  SELECT doc_id, unnest(range(len(done))) AS chunk_index, unnest(done) AS x FROM (
+    SELECT doc_id, CASE WHEN at_ >= 0 THEN edone ELSE done END AS done FROM (SELECT *, {_ended(_body('at_', 'i', 'lead'), 'p[at_ + 1].section', 'done', 'e')} FROM fold WHERE i = len(p))
+  )
+)"""
 
 _PROMPT_HEAD = "'Question ID: ' || question_id || chr(10) || 'Question: ' || question"
 _BLOCK = "'[chunk_id: ' || c.chunk_id || ']' || chr(10) || 'title: ' || coalesce(title, 'None') || chr(10) || 'section: ' || coalesce(section, 'None') || chr(10) || 'text:' || chr(10) || c.text"
@@ -310,6 +371,7 @@ def oracle_sql() -> dict[str, str]:
         "line_flags": f"SELECT count(*) AS n, count_if({CONTENTS})::BIGINT AS contents, count_if({TITLE})::BIGINT AS titles, count_if({HEADING})::BIGINT AS headings, count_if({LETTERED})::BIGINT AS lettered, count_if({METADATA})::BIGINT AS metadata FROM (SELECT {strip('x')} AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents))",
         "page_hashes": "SELECT page_id, sha256(html) AS sha256 FROM pages",
         "section_blocks": BLOCKS,
+        "chunk_passages": f"WITH RECURSIVE {PASSAGES} SELECT doc_id, printf('%d__%04d', doc_id, chunk_index) AS chunk_id, chunk_index::INT AS chunk_index, x.section AS section, x.text AS text, {words('x.text')}::INT AS word_count FROM passages",
         "sentence_split": rf"SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM documents)",
         "term_freq": f"WITH {CHUNKS} SELECT chunk_id, count(*) AS n_terms, sum(tf)::BIGINT AS length, max(tf) AS most, count_if(named)::BIGINT AS named FROM postings GROUP BY 1",
         "doc_freq_idf": f"WITH {CHUNKS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM frequent CROSS JOIN stats",

@@ -65,7 +65,7 @@ def test_embedded_heading_and_long_sentence(spark):
     got = chunk(spark, f"K. Hazing {words(120, 'h')[:-1]}", target=60, limit=50, overlap=0)
     # The last 20 words hold no finished sentence and go as front matter.
     assert [g[2] for g in got] == [52, 52] and all(g[0] == "K. Hazing" for g in got)
-    assert chunking.split_block("One two. Three four five. Six.", 4) == ["One two.", "Three four five. Six."]
+    assert apply(spark, lambda c: chunking.split_block(c, 4), "One two. Three four five. Six.", "a b c d e f g h i. j.", "one") == [["One two.", "Three four five. Six."], ["a b c d", "e f g h", "i.", "j."], ["one"]]
 
 
 def test_bm25_ties_and_empty(spark):
