@@ -18,13 +18,19 @@ def k_values(top_k: int) -> list[int]:
     return sorted({k for k in CUTS if k <= top_k} | {top_k})
 
 
+def last_grades(qrels: DataFrame) -> DataFrame:
+    """(question_id, chunk_id, relevance): of several grades the last by ``pos`` counts, without that column the highest."""
+    last = F.max_by("relevance", "pos") if "pos" in qrels.columns else F.max("relevance")
+    return qrels.groupBy("question_id", "chunk_id").agg(last.alias("relevance"))
+
+
 def judge(ranked: DataFrame, qrels: DataFrame, near_miss: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """Ranked rows with relevance (0 if unjudged) and the gold and near-miss flags of their documents.
 
-    ``qrels``: question_id, chunk_id, doc_id, relevance; of several grades the last, by value, counts.
+    ``qrels``: question_id, chunk_id, doc_id, relevance and, if there is an order, pos.
     ``gold``: question_id, doc_id; by default the documents with a relevant grade.
     """
-    grades = qrels.groupBy("question_id", "chunk_id").agg(F.max("relevance").alias("relevance"))
+    grades = last_grades(qrels)
     gold = qrels.filter(F.col("relevance") >= RELEVANT) if gold is None else gold
     gold = gold.select("question_id", "doc_id").distinct().withColumn("g", F.lit(True))
     near = near_miss.select("question_id", "doc_id").distinct().withColumn("m", F.lit(True))
@@ -52,7 +58,7 @@ def per_question(questions: DataFrame, judged: DataFrame, qrels: DataFrame, top_
             F.max((inside & F.col("is_near_miss_doc")).cast("int")).alias(f"near_miss_doc@{k}"), F.sum(F.when(inside, gain(F.col("relevance"), F.col("rank")))).alias(f"dcg@{k}"),
         ]
     got = judged.groupBy("question_id").agg(*aggs)
-    best = qrels.filter("relevance > 0").groupBy("question_id", "chunk_id").agg(F.max("relevance").alias("relevance"))
+    best = last_grades(qrels).filter("relevance > 0")
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("relevance")))
     best = best.withColumn("place", place).filter(F.col("place") <= top_k)
     ideal = best.groupBy("question_id").agg(*[F.sum(F.when(F.col("place") <= k, gain(F.col("relevance"), F.col("place")))).alias(f"ideal@{k}") for k in cuts])

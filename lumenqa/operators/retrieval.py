@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.scratch import written
 
 K1, B = 1.2, 0.65
 #: Field weights; title and section terms also break ties.
@@ -71,17 +72,21 @@ def idf(n: Column, df: Column) -> Column:
 def bm25_search(questions: DataFrame, chunks: DataFrame, top_k: int = 5, k1: float = K1, b: float = B, expand: bool = False) -> DataFrame:
     """question_id, rank, chunk_id, doc_id, chunk_index, score, matches.
 
-    Only postings of query terms are counted and shuffled.  Order: score, title and section matches,
-    doc_id, chunk_index; a question that matches nothing has no row.
+    The corpus is read once: the postings of query terms, and one entry without a term for the length
+    of each chunk, are counted and written; statistics and scores come from those.  Order: score,
+    title and section matches, doc_id, chunk_index; a question that matches nothing has no row.
     """
     asked = tx.expand_query(F.col("question")) if expand else F.col("question")
     terms = questions.select("question_id", F.explode(F.array_distinct(tx.tokens(asked))).alias("term"))
-    entries = weighted_terms(chunks)
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # reads the questions only
     send = F.broadcast if few else lambda df: df
-    found = postings(entries, send(terms.select("term").distinct()))
+    entries = weighted_terms(chunks)
+    size = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("weight"), F.lit(False).alias("named")))
+    wanted = terms.select("term").unionByName(questions.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    counted = written(postings(entries.withColumn("entries", F.concat(size, "entries")), send(wanted)), "bm25")
+    found, sizes = counted.filter("term <> ''"), counted.filter("term = ''")
     frequent = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(entries))  # one row
+    stats = F.broadcast(corpus_stats(sizes))  # one row
     weighed = terms.join(frequent, "term").crossJoin(stats).select("question_id", "term", "average_length", idf(F.col("n"), F.col("df")).alias("idf"))
     norm = 1 - b + b * F.col("length") / F.col("average_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
@@ -92,41 +97,60 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, top_k: int = 5, k1: flo
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_block: int = 1024, query_col: str = "query_id", keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = ()) -> DataFrame:
+#: Bytes of queries that go out at once, and queries that meet a batch of vectors at a time.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 1024
+
+
+def usable(vector: Column) -> Column:
+    """Neither null nor holding a null."""
+    return F.coalesce(vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull()), F.lit(False))
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_col: str = "query_id", keys: tuple[str, ...] = ("vec_id",), carried: tuple[str, ...] = ()) -> DataFrame:
     """query id, rank, keys, carried columns, score: exact inner product of unit vectors, ties by ``keys``.
 
-    Queries go out in broadcast blocks of a fixed size; each Arrow batch of vectors is one matrix
-    product and reports its own best rows, and a window ranks those.
+    Queries are dealt by a hash into parts of about ``QUERY_BYTES``; one scan of the vectors serves a
+    part.  Each Arrow batch of vectors meets the queries in blocks, reports its own best rows, and a
+    window ranks those.  Vectors that are null or hold a null take no part, nor do those of another
+    length than the query's.
     """
     spark, out = queries.sparkSession, None
     columns = [*keys, *carried]
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
     schema = ", ".join(f"`{c}` {types[c]}" for c in [query_col, *columns]) + ", score double"
-    total = queries.count()
-    ordered = queries.select(query_col, "vector").orderBy(query_col)
-    for start in range(0, max(total, 1), query_block):
-        rows = ordered.offset(start).limit(query_block).collect()  # a block of fixed size
-        block = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r["vector"] for r in rows], float)))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, wanted = block.value
+    queries, vectors = (df.filter(usable(F.col("vector"))) for df in (queries, vectors))
+    total = queries.agg(F.coalesce(F.sum(8 * (F.size("vector") + 8)), F.lit(0))).first()[0]
+    parts = max(1, -(-total // QUERY_BYTES))
+    for part in range(parts):
+        rows = queries.filter(F.pmod(F.xxhash64(query_col), F.lit(parts)) == part).select(query_col, "vector").collect()  # of about QUERY_BYTES
+        sizes: dict[int, list] = {}
+        for r in rows:
+            sizes.setdefault(len(r["vector"]), []).append(r)
+        blocks = [(size, [r[0] for r in own[a : a + QUERY_BLOCK]], np.array([r[1] for r in own[a : a + QUERY_BLOCK]], float).reshape(-1, size)) for size, own in sizes.items() for a in range(0, len(own), QUERY_BLOCK)]
+        shared = spark.sparkContext.broadcast(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
                 place = np.empty(batch.num_rows, np.int64)
                 place[pc.sort_indices(batch, sort_keys=[(k, "ascending") for k in keys]).to_numpy()] = np.arange(batch.num_rows)
-                matrix = np.stack(batch.column(len(columns)).to_numpy(zero_copy_only=False)).astype(float)
-                scores = np.round(wanted @ matrix.T, DIGITS)
-                best = []
-                for s in scores:
-                    few = np.flatnonzero(s >= np.partition(s, -top_k)[-top_k]) if len(s) > top_k else np.arange(len(s))
-                    best.append(few[np.lexsort((place[few], -s[few]))][:top_k])
-                at, of = np.concatenate(best), np.repeat(np.arange(len(ids)), [len(x) for x in best])
-                found = [pa.array(ids).take(pa.array(of)), *(batch.column(i).take(pa.array(at)) for i in range(len(columns)))]
-                yield pa.RecordBatch.from_arrays([*found, pa.array(scores[of, at])], [query_col, *columns, "score"])
-
-        part = vectors.select(*columns, "vector").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+                lists = batch.column(len(columns))
+                lengths = pc.list_value_length(lists).to_numpy()
+                for size, ids, wanted in shared.value:
+                    own = np.flatnonzero(lengths == size)
+                    if not len(own):
+                        continue
+                    matrix = pc.list_flatten(lists.take(pa.array(own))).to_numpy().astype(float).reshape(-1, size)
+                    scores = np.round(wanted @ matrix.T, DIGITS)
+                    best = []
+                    for s in scores:
+                        few = np.flatnonzero(s >= np.partition(s, -top_k)[-top_k]) if len(s) > top_k else np.arange(len(s))
+                        best.append(few[np.lexsort((place[own[few]], -s[few]))][:top_k])
+                    at, of = np.concatenate(best), np.repeat(np.arange(len(ids)), [len(x) for x in best])
+                    found = [pa.array(ids).take(pa.array(of)), *(batch.column(i).take(pa.array(own[at])) for i in range(len(columns)))]
+                    yield pa.RecordBatch.from_arrays([*found, pa.array(scores[of, at])], [query_col, *columns, "score"])
+
+        found = vectors.select(*columns, "vector").mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), *keys)
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 

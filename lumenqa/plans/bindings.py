@@ -5,16 +5,21 @@ Each record is built once here with DataFrame functions and once in :mod:`.oracl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.columns import let
+from ..operators import chunking
 from ..operators.generation import SYSTEMS
 from ..operators.retrieval import bounded
+from ..sources.scratch import spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunk_id(doc_id) -> F.Column:
@@ -29,61 +34,127 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", chunk_id(F.col("doc_id")).alias("chunk_id"), F.lit(0).alias("chunk_index"), F.col("source").alias("title"), F.col("lang").alias("topic"), section.alias("section"), "text")
 
 
-def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, chunk_id, doc_id, relevance: 3 for documents that hold the item's text, 1 for the next ids.
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents cut into passages, as chunks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("topic"), F.posexplode(chunking.passages_of(F.col("text"))).alias("chunk_index", "p"))
+    own = F.concat(F.col("doc_id").cast("string"), F.lit("__"), F.format_string("%04d", "chunk_index"))
+    return docs.select("doc_id", own.alias("chunk_id"), "chunk_index", "title", "topic", "p.section", "p.text")
+
+
+@dataclass
+class Benchmark:
+    """What the documents say about the benchmark's items, written once: every judgement is a small table.
+
+    * ``facts``: (role, question_id, doc_id, lang) with role "gold" for documents that hold the item's
+      text, "next" for the ids after those and "near" for about 25 ids at equal distances.
+    * ``items``: question_id, question.
+    """
+
+    facts: DataFrame
+    items: DataFrame
+
+    def judgements(self) -> DataFrame:
+        """question_id, chunk_id, doc_id, relevance: 3 for gold documents, 1 for the ids after them."""
+        gold = self.facts.filter("role = 'gold'").select("question_id", "doc_id")
+        following = self.facts.filter("role = 'next'").join(gold.select("question_id", (F.col("doc_id") + 1).alias("doc_id")), ["question_id", "doc_id"], "left_semi")
+        nxt = following.select("question_id", "doc_id").distinct().join(gold, ["question_id", "doc_id"], "left_anti")
+        both = gold.withColumn("relevance", F.lit(3)).unionByName(nxt.withColumn("relevance", F.lit(1)))
+        return both.select("question_id", chunk_id(F.col("doc_id")).alias("chunk_id"), "doc_id", "relevance")
+
+    def questions(self) -> DataFrame:
+        """question_id, question, answerable, topic, question_type, difficulty."""
+        gold = self.facts.filter("role = 'gold'").groupBy("question_id").agg(F.min_by("lang", "doc_id").alias("topic"))
+        size = F.char_length("question")
+        rows = self.items.select(
+            "question_id", "question", F.concat(F.lit("t"), F.col("question_id") % 3).alias("question_type"), F.when(size < 150, "easy").when(size < 250, "medium").otherwise("hard").alias("difficulty")
+        ).join(gold, "question_id", "left")
+        return rows.select("question_id", "question", F.col("topic").isNotNull().alias("answerable"), F.coalesce("topic", F.lit("none")).alias("topic"), "question_type", "difficulty")
+
+    def near_misses(self) -> DataFrame:
+        """(question_id, doc_id) of unanswerable questions."""
+        unanswerable = self.questions().filter("not answerable").select("question_id")
+        return self.facts.filter("role = 'near'").select("question_id", "doc_id").join(unanswerable, "question_id", "left_semi")
 
-    Items are a fixed query set: they meet all documents in one broadcast pass while few.
+
+#: Words of an item that stand for it: whole words, as neither the first nor the last is among them.
+ANCHOR_WORDS = 3
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> Benchmark:
+    """Two scans of the documents: three words in a row point out which may hold an item, then the text decides.
+
+    Items are a query set of bounded size, candidates are broadcast while few; no item meets a
+    document that lacks its words (items of under five words have none and meet all).
     """
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    gold = docs.join(bounded(items, 10_000), F.contains("text", "item")).select(F.col("item_id").alias("question_id"), "doc_id")
-    nxt = gold.select("question_id", (F.col("doc_id") + 1).alias("doc_id")).distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
-    nxt = nxt.join(gold, ["question_id", "doc_id"], "left_anti")
-    both = gold.withColumn("relevance", F.lit(3)).unionByName(nxt.withColumn("relevance", F.lit(1)))
-    return both.select("question_id", chunk_id(F.col("doc_id")).alias("chunk_id"), "doc_id", "relevance")
-
-
-def questions(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> DataFrame:
-    """question_id, question, answerable, topic, question_type, difficulty."""
-    qrels = judgements(spark, sf_dir) if qrels is None else qrels
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    gold = qrels.filter("relevance = 3").join(docs, "doc_id").groupBy("question_id").agg(F.min_by("lang", "doc_id").alias("topic"))
-    size = F.char_length("text")
-    items = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("question_id"), F.col("text").alias("question"),
-        F.concat(F.lit("t"), F.col("item_id") % 3).alias("question_type"), F.when(size < 150, "easy").when(size < 250, "medium").otherwise("hard").alias("difficulty"),
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    items = written(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), "benchmark")
+
+    def anchors(text, from_: int, least: int):
+        return let(F.split(text, r"\s+"), lambda w: F.transform(F.filter(F.sequence(F.lit(from_), F.size(w)), lambda i: i + least <= F.size(w)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR_WORDS)])))
+
+    marked = items.select("question_id", F.get(anchors(F.col("question"), 1, ANCHOR_WORDS + 1), F.lit(0)).alias("anchor"))
+    short = marked.filter("anchor is null").select("question_id")
+    seen = Observation("documents")
+    observed = docs.observe(seen, F.max("doc_id").alias("most"))
+    words = observed.select("doc_id", F.explode(F.array_distinct(anchors(F.col("text"), 0, ANCHOR_WORDS))).alias("anchor"))
+    candidates = written(words.join(bounded(marked.filter("anchor is not null"), 100_000), "anchor").select("doc_id", "question_id"), "benchmark")
+    if not short.isEmpty():
+        candidates = candidates.unionByName(docs.select("doc_id").crossJoin(F.broadcast(short)))
+    step = max(40, -(-((seen.get["most"] or 0) + 1) // 25))
+    at = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
+    row = lambda df, role, kind, key: df.select("question_id", F.lit(role).alias("role"), at(kind, key).alias("at"))
+    wanted = (
+        row(candidates, "gold", "id", F.col("doc_id")).unionByName(row(candidates, "next", "id", F.col("doc_id") + 1)).distinct()
+        .unionByName(row(items, "near", "residue", F.col("question_id") % 40))
     )
-    rows = items.join(gold, "question_id", "left")
-    return rows.select("question_id", "question", F.col("topic").isNotNull().alias("answerable"), F.coalesce("topic", F.lit("none")).alias("topic"), "question_type", "difficulty")
+    found = docs.select("*", F.explode(F.array(at("id", F.col("doc_id")), at("residue", F.col("doc_id") % step))).alias("at")).join(bounded(wanted, 200_000), "at")
+    found = found.join(bounded(items, 100_000), "question_id").filter("role <> 'gold' or contains(text, question)")
+    return Benchmark(written(found.select("role", "question_id", "doc_id", "lang"), "benchmark"), items)
+
 
+#: Copies of questions under the same id and under another one, with the text in other letters.
+SAME_ID, OTHER_ID, ID_SHIFT = 17, 13, 100_000
 
-def near_misses(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    """For unanswerable questions: a list of 25 document ids by arithmetic on the question's, as far as they exist."""
-    ids = F.sequence(F.col("question_id") % 40, F.lit(999).cast("long"), F.lit(40).cast("long"))
-    wanted = asked.filter("not answerable").select("question_id", F.explode(ids).alias("doc_id"))
-    return wanted.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi").select("question_id", "doc_id")
+
+def copied(rows: DataFrame) -> DataFrame:
+    """``rows`` with planted copies; ``row`` is their order."""
+    i = F.col("question_id")
+    other = F.concat(F.upper("question"), F.lit(" ?"))
+    first, same = rows.withColumn("row", i), rows.filter(i % SAME_ID == 0).withColumn("row", i + 10 * ID_SHIFT)
+    renamed = rows.filter(i % OTHER_ID == 0).withColumns({"row": i + 20 * ID_SHIFT, "question": other, "question_id": i + ID_SHIFT})
+    return first.unionByName(same).unionByName(renamed)
+
+
+def question_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row, question_id, question of the benchmark with planted copies."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return copied(items)
 
 
 def benchmark_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested question records with a few planted faults, by id."""
-    qrels = judgements(spark, sf_dir)
-    asked = questions(spark, sf_dir, qrels)
-    near = near_misses(spark, sf_dir, asked).groupBy("question_id").agg(F.sort_array(F.collect_list("doc_id")).alias("near_miss_doc_ids"))
-    q = qrels.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "relevance"))).alias("qrels"))
-    rows = asked.join(q, "question_id", "left").join(near, "question_id", "left")
+    """Nested question records with planted faults, by id, and planted copies; written once."""
+    known = benchmark(spark, sf_dir)
+    near = known.near_misses().groupBy("question_id").agg(F.sort_array(F.collect_list("doc_id")).alias("near_miss_doc_ids"))  # about 25
+    q = known.judgements().groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "relevance"))).alias("qrels"))
+    rows = known.questions().join(q, "question_id", "left").join(near, "question_id", "left")
     i, yes = F.col("question_id"), F.col("answerable")
     grades = F.coalesce("qrels", F.array().cast("array<struct<chunk_id:string,doc_id:bigint,relevance:int>>"))
     gold = F.filter(grades, lambda r: r["relevance"] == 3)
     wrong = F.struct(F.lit("missing__0000").alias("chunk_id"), F.lit(-5).cast("long").alias("doc_id"), F.lit(7).alias("relevance"))
-    return rows.select(
+    first = F.when(i % 10 == 0, F.get(grades, F.lit(0))["chunk_id"])
+    odd = F.struct(first.alias("chunk_id"), F.lit(-6).cast("long").alias("doc_id"), F.lit(9).alias("relevance"))
+    some = lambda test, x: F.when(test, F.array(x)).otherwise(F.array().cast("array<struct<chunk_id:string,doc_id:bigint,relevance:int>>"))
+    records = rows.select(
         i.alias("question_id"), "question", "answerable", "topic", "question_type", "difficulty",
-        F.transform(gold, lambda r: r["doc_id"]).alias("gold_doc_ids"),
+        F.concat(F.transform(gold, lambda r: r["doc_id"]), F.when(i % 8 == 0, F.array(F.lit(-7).cast("long"))).otherwise(F.array().cast("array<bigint>"))).alias("gold_doc_ids"),
         F.concat(F.transform(gold, lambda r: r["chunk_id"]), F.when(i % 7 == 0, F.array(F.lit("missing__0000"))).otherwise(F.array().cast("array<string>"))).alias("gold_chunk_ids"),
         F.when(yes & (i % 5 != 0), F.col("question")).alias("gold_answer_short"),
-        F.transform(gold, lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["doc_id"].alias("doc_id"), F.when(i % 4 == 0, F.lit("not in the text")).otherwise(F.col("question")).alias("quote"))).alias("evidence"),
-        F.when(i % 6 == 0, F.concat(grades, F.array(wrong))).otherwise(grades).alias("qrels"),
+        F.transform(gold, lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["doc_id"].alias("doc_id"), F.when(i % 4 == 0, F.lit("not in the text")).when(i % 11 != 0, F.col("question")).alias("quote"))).alias("evidence"),
+        F.concat(grades, some(i % 6 == 0, wrong), some(first.isNotNull(), odd)).alias("qrels"),
         F.when(~yes & (i % 3 != 0), F.lit("absent")).alias("unanswerable_type"), F.when(~yes | (i % 9 == 0), F.lit("why")).alias("negative_rationale"),
         F.coalesce("near_miss_doc_ids", F.array().cast("array<bigint>")).alias("near_miss_doc_ids"),
     )
+    return written(copied(records), "records")
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,11 +57,7 @@ def chunk_id(x: str) -> str:
     return f"(({x})::BIGINT::VARCHAR || '__0000')"
 
 
-CHUNKS = rf"""chunks AS (
-  SELECT doc_id, {chunk_id('doc_id')} AS chunk_id, 0 AS chunk_index, source AS title, lang AS topic,
-    CASE WHEN contains(text, chr(10)) AND {words("split_part(text, chr(10), 1)")} <= 14 THEN split_part(text, chr(10), 1) END AS section, text
-  FROM documents
-), entries AS (
+ENTRIES = rf"""entries AS (
   SELECT chunk_id, doc_id, chunk_index, {tokens('title')} AS tt, {tokens('section')} AS st, {tokens('topic')} AS pt,
     {tokens("CASE WHEN section <> '' AND starts_with(text, section) THEN substr(text, length(section) + 1) ELSE text END")} AS bt
   FROM chunks
@@ -76,6 +72,16 @@ CHUNKS = rf"""chunks AS (
   SELECT chunk_id, doc_id, chunk_index, length, term, sum(weight)::BIGINT AS tf, bool_or(named) AS named FROM term_rows GROUP BY ALL
 ), stats AS (SELECT count(*)::BIGINT AS n, coalesce(avg(length), 0.0) AS average_length FROM weighted),
 frequent AS (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term)"""
+ONE_CHUNK = rf"""chunks AS (
+  SELECT doc_id, {chunk_id('doc_id')} AS chunk_id, 0 AS chunk_index, source AS title, lang AS topic,
+    CASE WHEN contains(text, chr(10)) AND {words("split_part(text, chr(10), 1)")} <= 14 THEN split_part(text, chr(10), 1) END AS section, text
+  FROM documents
+)"""
+CHUNKS = f"{ONE_CHUNK}, {ENTRIES}"
+#: The passages of documents as chunks; their table comes before.
+PASSAGE_CHUNKS = """chunks AS (
+  SELECT doc_id, printf('%d__%04d', doc_id, chunk_index) AS chunk_id, chunk_index, source AS title, lang AS topic, x.section AS section, x.text AS text FROM passages JOIN documents USING (doc_id)
+)"""
 
 ASKED = "asked AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
 
@@ -116,7 +122,8 @@ qrels AS (
     coalesce(t.topic, 'none') AS topic, 't' || (item_id % 3) AS question_type,
     CASE WHEN length(b.text) < 150 THEN 'easy' WHEN length(b.text) < 250 THEN 'medium' ELSE 'hard' END AS difficulty
   FROM benchmark b LEFT JOIN (SELECT question_id, arg_min(lang, doc_id) AS topic FROM gold JOIN documents USING (doc_id) GROUP BY 1) t ON t.question_id = b.item_id
-), near AS (SELECT question_id, doc_id FROM (SELECT question_id, unnest(range(question_id % 40, 1000, 40)) AS doc_id FROM questions WHERE NOT answerable) SEMI JOIN documents USING (doc_id))"""
+), step AS (SELECT greatest(40, ceil((max(doc_id) + 1) / 25.0))::BIGINT AS step FROM documents),
+near AS (SELECT question_id, doc_id FROM questions CROSS JOIN step JOIN documents ON doc_id % step = question_id % 40 WHERE NOT answerable)"""
 
 
 def judged(base: str, name: str = "judged") -> str:
@@ -195,7 +202,7 @@ REVIEWED = f"""reviewed AS (
 )"""
 
 RECORDS = f"""WITH {QRELS}, records AS (
-  SELECT q.*, coalesce(j.gold_docs, []) AS gold_docs,
+  SELECT q.*, list_concat(coalesce(j.gold_docs, []), CASE WHEN q.question_id % 8 = 0 THEN [-7] ELSE [] END) AS gold_docs,
     list_concat(coalesce(j.gold_chunks, []), CASE WHEN q.question_id % 7 = 0 THEN ['missing__0000'] ELSE [] END) AS gold_chunks,
     CASE WHEN answerable AND q.question_id % 5 <> 0 THEN question END AS gold_answer, coalesce(j.n_gold, 0) AS n_gold,
     CASE WHEN NOT answerable AND q.question_id % 3 <> 0 THEN 'absent' END AS unanswerable_type, CASE WHEN NOT answerable OR q.question_id % 9 = 0 THEN 'why' END AS rationale,
@@ -207,38 +214,56 @@ RECORDS = f"""WITH {QRELS}, records AS (
   SELECT q.question_id, r.chunk_id, r.doc_id, r.relevance, row_number() OVER (PARTITION BY q.question_id ORDER BY r.chunk_id, r.doc_id, r.relevance) - 1 AS i, d.text, question
   FROM questions q JOIN qrels r USING (question_id) JOIN documents d USING (doc_id)
 ), evidence AS (
-  SELECT question_id, text, row_number() OVER (PARTITION BY question_id ORDER BY chunk_id) - 1 AS i, CASE WHEN question_id % 4 = 0 THEN 'not in the text' ELSE question END AS quote
+  SELECT question_id, text, row_number() OVER (PARTITION BY question_id ORDER BY chunk_id) - 1 AS i, CASE WHEN question_id % 4 = 0 THEN 'not in the text' WHEN question_id % 11 <> 0 THEN question END AS quote
   FROM graded WHERE relevance = 3
+), odd AS (
+  SELECT question_id, chunk_id, (SELECT n_all FROM records r WHERE r.question_id = g.question_id) + (question_id % 6 = 0)::INT AS i FROM graded g WHERE i = 0 AND question_id % 10 = 0
+), copies AS (
+  SELECT question_id AS row, question_id, question_id AS of, question FROM questions
+  UNION ALL SELECT question_id + 1000000, question_id, question_id, question FROM questions WHERE question_id % 17 = 0
+  UNION ALL SELECT question_id + 2000000, question_id + 100000, question_id, upper(question) || ' ?' FROM questions WHERE question_id % 13 = 0
 )"""
 
 
 def _rule(severity: str, name: str, where: str, message: str, source: str = "records") -> str:
-    return f"SELECT question_id::VARCHAR AS question_id, '{severity}' AS severity, '{name}' AS rule, {message} AS message FROM {source} WHERE {where}"
-
-
-FOLDED = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
-
-FINDINGS = RECORDS + "\n" + "\nUNION ALL ".join(
-    [
-        _rule("error", "no_gold_docs", "answerable AND len(gold_docs) = 0", "'answerable question has no gold_doc_ids'"),
-        _rule("error", "no_gold_chunks", "answerable AND len(gold_chunks) = 0", "'answerable question has no gold_chunk_ids'"),
-        _rule("error", "no_gold_answer", "answerable AND coalesce(gold_answer, '') = ''", "'answerable question has no gold_answer_short'"),
-        _rule("error", "no_relevant_qrel", "answerable AND n_gold = 0", "'answerable question needs at least one relevance=3 qrel'"),
-        _rule("error", "has_unanswerable_type", "answerable AND unanswerable_type IS NOT NULL", "'answerable question should have null unanswerable_type'"),
-        _rule("error", "has_rationale", "answerable AND rationale IS NOT NULL", "'answerable question should have null negative_rationale'"),
-        _rule("error", "has_gold", "NOT answerable AND len(gold_chunks) + len(gold_docs) > 0", "'unanswerable question should not have gold ids'"),
-        _rule("error", "has_gold_answer", "NOT answerable AND gold_answer IS NOT NULL", "'unanswerable question should have null gold_answer_short'"),
-        _rule("error", "has_evidence", "NOT answerable AND n_gold > 0", "'unanswerable question should not have evidence'"),
-        _rule("error", "has_relevant_qrel", "NOT answerable AND n_gold > 0", "'unanswerable question cannot have relevance=3 qrel'"),
-        _rule("error", "no_unanswerable_type", "NOT answerable AND coalesce(unanswerable_type, '') = ''", "'unanswerable question needs unanswerable_type'"),
-        _rule("error", "no_rationale", "NOT answerable AND coalesce(rationale, '') = ''", "'unanswerable question needs negative_rationale'"),
-        _rule("warning", "no_near_miss", "NOT answerable AND near_miss = 0", "'unanswerable question has no near_miss_doc_ids'"),
-        _rule("error", "unknown_gold_chunk", "question_id % 7 = 0", "'unknown gold_chunk_id missing__0000'"),
-        _rule("error", "unknown_qrel_chunk", "question_id % 6 = 0", "'qrel[' || n_all || '] unknown chunk_id missing__0000'"),
-        _rule("error", "bad_grade", "question_id % 6 = 0", "'qrel[' || n_all || '] invalid relevance'"),
-        _rule("error", "no_quote", "quote = ''", "'evidence[' || i || '] has no quote'", "evidence"),
-        _rule("error", "quote_not_found", "quote <> '' AND NOT contains(text, quote)", "'evidence[' || i || '] quote is not in chunk text'", "evidence"),
-    ]
+    return f"SELECT question_id AS of, '{severity}' AS severity, '{name}' AS rule, {message} AS message FROM {source} WHERE {where}"
+
+
+def folded(x: str) -> str:
+    return rf"trim(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+FOLDED = folded("text")
+PAIRS = f"""SELECT a.question_id AS first_id, b.question_id AS second_id
+  FROM (SELECT row, question_id, {folded('question')} AS key FROM copies) a JOIN (SELECT row, question_id, {folded('question')} AS key FROM copies) b ON a.key = b.key AND a.row < b.row"""
+SINGLE = [
+    _rule("error", "no_gold_docs", "answerable AND len(gold_docs) = 0", "'answerable question has no gold_doc_ids'"),
+    _rule("error", "no_gold_chunks", "answerable AND len(gold_chunks) = 0", "'answerable question has no gold_chunk_ids'"),
+    _rule("error", "no_gold_answer", "answerable AND coalesce(gold_answer, '') = ''", "'answerable question has no gold_answer_short'"),
+    _rule("error", "no_relevant_qrel", "answerable AND n_gold = 0", "'answerable question needs at least one relevance=3 qrel'"),
+    _rule("error", "has_unanswerable_type", "answerable AND unanswerable_type IS NOT NULL", "'answerable question should have null unanswerable_type'"),
+    _rule("error", "has_rationale", "answerable AND rationale IS NOT NULL", "'answerable question should have null negative_rationale'"),
+    _rule("error", "has_gold", "NOT answerable AND len(gold_chunks) + len(gold_docs) > 0", "'unanswerable question should not have gold ids'"),
+    _rule("error", "has_gold_answer", "NOT answerable AND gold_answer IS NOT NULL", "'unanswerable question should have null gold_answer_short'"),
+    _rule("error", "has_evidence", "NOT answerable AND n_gold > 0", "'unanswerable question should not have evidence'"),
+    _rule("error", "has_relevant_qrel", "NOT answerable AND n_gold > 0", "'unanswerable question cannot have relevance=3 qrel'"),
+    _rule("error", "no_unanswerable_type", "NOT answerable AND coalesce(unanswerable_type, '') = ''", "'unanswerable question needs unanswerable_type'"),
+    _rule("error", "no_rationale", "NOT answerable AND coalesce(rationale, '') = ''", "'unanswerable question needs negative_rationale'"),
+    _rule("warning", "no_near_miss", "NOT answerable AND near_miss = 0", "'unanswerable question has no near_miss_doc_ids'"),
+    _rule("error", "unknown_gold_doc", "question_id % 8 = 0", "'unknown gold_doc_id -7'"),
+    _rule("error", "unknown_gold_chunk", "question_id % 7 = 0", "'unknown gold_chunk_id missing__0000'"),
+    # Of a chunk that is not there nothing more is said, though its grade is unknown, too.
+    _rule("error", "unknown_chunk", "question_id % 6 = 0", "'qrels[' || n_all || ']: unknown chunk_id missing__0000'"),
+    _rule("error", "other_doc", "true", "'qrels[' || i || ']: doc_id -6 does not match chunk ' || chunk_id", "odd"),
+    _rule("error", "bad_grade", "true", "'qrels[' || i || ']: relevance must be one of [0, 1, 2, 3]'", "odd"),
+    _rule("error", "no_quote", "coalesce(quote, '') = ''", "'evidence[' || i || ']: missing quote'", "evidence"),
+    _rule("error", "quote_not_found", "quote <> '' AND NOT contains(text, quote)", "'evidence[' || i || ']: quote not found in chunk text'", "evidence"),
+]
+FINDINGS = (
+    RECORDS + ", single AS (" + " UNION ALL ".join(SINGLE) + f"), pairs AS ({PAIRS}) "
+    + "SELECT c.question_id::VARCHAR AS question_id, severity, rule, message FROM single JOIN copies c USING (of) "
+    + "UNION ALL SELECT NULL, 'error', 'duplicate_id', 'duplicate question_id values: ' || string_agg(id, ', ' ORDER BY id) FROM (SELECT question_id::VARCHAR AS id FROM copies GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0 "
+    + "UNION ALL SELECT first_id::VARCHAR, 'warning', 'near_duplicate', 'near-duplicate normalized question text: ' || first_id || ' and ' || second_id FROM pairs"
 )
 
 _METRICS = ["mrr", *[f"{m}@{k}" for k in KS for m in ("recall", "doc_recall", "ndcg")]]
@@ -377,6 +402,7 @@ def oracle_sql() -> dict[str, str]:
         "doc_freq_idf": f"WITH {CHUNKS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM frequent CROSS JOIN stats",
         "corpus_stats": f"WITH {CHUNKS} SELECT n, round(average_length, 6) AS average_length FROM stats",
         "bm25_topk": f"WITH {CHUNKS}, {ASKED}, {ranked(10)} {final} ranked",
+        "bm25_passages": f"WITH RECURSIVE {PASSAGES}, {PASSAGE_CHUNKS}, {ENTRIES}, {ASKED}, {ranked(10)} {final} ranked",
         "bm25_expanded": f"WITH {CHUNKS}, {ASKED}, {ranked(5, expand=True)} {final} ranked",
         "dense_topk": "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score, (row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id))::INT AS rank FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5)",
         "rerank_topk": f"WITH {CHUNKS}, {ASKED}, {ranked(20)}, {reranked('ranked', 5)} {final} again",
@@ -387,9 +413,9 @@ def oracle_sql() -> dict[str, str]:
         "compare_overall": f"{COMPARED}, {CASES}, every AS (SELECT * FROM (VALUES (1), (3), (5), (10)) a(k), (VALUES ('both_hit'), ('left_only'), ('right_only'), ('both_miss')) b(bucket)) SELECT e.k, e.bucket, count(question_id) AS n, coalesce(string_agg(question_id::VARCHAR, ',' ORDER BY question_id), '') AS ids FROM every e LEFT JOIN (SELECT *, {BUCKET} AS bucket FROM cases) c ON c.k = e.k AND c.bucket = e.bucket GROUP BY 1, 2",
         "compare_by_slice": f"{COMPARED}, {CASES}, named AS (SELECT *, {BUCKET} AS bucket FROM cases), long AS (SELECT 'topic' AS slice, topic AS \"group\", k, bucket FROM named UNION ALL SELECT 'question_type', question_type, k, bucket FROM named UNION ALL SELECT 'difficulty', difficulty, k, bucket FROM named) SELECT slice, \"group\", k, count_if(bucket = 'both_hit')::BIGINT AS both_hit, count_if(bucket = 'left_only')::BIGINT AS left_only, count_if(bucket = 'right_only')::BIGINT AS right_only, count_if(bucket = 'both_miss')::BIGINT AS both_miss FROM long GROUP BY 1, 2, 3",
         "compare_detail": f"{COMPARED} SELECT b.question_id, first_rank AS left_rank, r_first_rank AS right_rank, l.chunk_id AS left_top, r.chunk_id AS right_top FROM both_sides b LEFT JOIN ranked l ON l.question_id = b.question_id AND l.rank = 1 LEFT JOIN again r ON r.question_id = b.question_id AND r.rank = 1",
-        "validate_findings": FINDINGS + f" UNION ALL SELECT a.item_id::VARCHAR, 'warning', 'near_duplicate', 'near-duplicate normalized question text: ' || a.item_id || ' and ' || b.item_id FROM (SELECT item_id, {FOLDED} AS key FROM benchmark) a JOIN (SELECT item_id, {FOLDED} AS key FROM benchmark) b ON a.key = b.key AND a.item_id < b.item_id",
-        "validate_summary": RECORDS + " SELECT 'answerability' AS scope, CASE WHEN answerable THEN 'answerable' ELSE 'unanswerable' END AS value, count(*) AS n FROM records GROUP BY ALL UNION ALL SELECT 'topic', topic, count(*) FROM records GROUP BY ALL UNION ALL SELECT 'question_type', question_type, count(*) FROM records GROUP BY ALL UNION ALL SELECT 'difficulty', difficulty, count(*) FROM records GROUP BY ALL UNION ALL SELECT 'gold_doc', doc_id::VARCHAR, count(*) FROM gold GROUP BY ALL",
-        "near_duplicate_pairs": f"WITH keyed AS (SELECT item_id, {FOLDED} AS key FROM benchmark) SELECT a.item_id AS first_id, b.item_id AS second_id FROM keyed a JOIN keyed b ON a.key = b.key AND a.item_id < b.item_id",
+        "validate_findings": FINDINGS,
+        "validate_summary": RECORDS + ", counted AS (SELECT r.* FROM records r JOIN copies c ON c.of = r.question_id) " + " UNION ALL ".join([f"SELECT '{scope}' AS scope, {value} AS value, count(*) AS n FROM counted GROUP BY ALL" for scope, value in (("answerability", "CASE WHEN answerable THEN 'answerable' ELSE 'unanswerable' END"), ("topic", "topic"), ("question_type", "question_type"), ("difficulty", "difficulty"))] + ["SELECT 'gold_doc', d::VARCHAR, count(*) FROM (SELECT unnest(gold_docs) AS d FROM counted) GROUP BY ALL"]),
+        "near_duplicate_pairs": f"{RECORDS} {PAIRS}",
         "near_duplicate_groups": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS group_id, count(*) OVER (PARTITION BY key) AS group_size FROM (SELECT doc_id, {FOLDED} AS key FROM documents)",
         "gen_prompts": PROMPTS,
         "gen_dry_run": f"WITH {CHUNKS}, {ASKED}, {ranked(5)} SELECT a.question_id, a.question, true AS abstained, 'bm25_rag' AS system, count(r.chunk_id) AS n_retrieved, any_value(r.chunk_id) FILTER (r.rank = 1) AS top, md5(any_value({PREVIEW('c.text')}) FILTER (r.rank = 1)) AS preview_md5 FROM asked a LEFT JOIN ranked r USING (question_id) LEFT JOIN chunks c ON c.chunk_id = r.chunk_id GROUP BY a.question_id, a.question",

@@ -11,6 +11,7 @@ from ..functions import cleaning
 from ..functions import text as tx
 from ..operators import chunking, evaluation, generation, metrics, retrieval, validation
 from ..sources import files
+from ..sources.scratch import written
 from . import bindings as bind
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,7 +144,7 @@ def _bm25(spark, sf, k=TOP_K, expand=False):
 
 
 def _asked(spark, sf):
-    return bind.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
 @query
@@ -151,6 +152,12 @@ def bm25_topk(spark, sf):
     return _shown(_bm25(spark, sf))
 
 
+@query
+def bm25_passages(spark, sf):
+    """BM25 over the passages that the documents are cut into."""
+    return _shown(retrieval.bm25_search(_asked(spark, sf), bind.passages(spark, sf), TOP_K))
+
+
 @query
 def bm25_expanded(spark, sf):
     return _shown(_bm25(spark, sf, 5, expand=True))
@@ -171,13 +178,16 @@ def rerank_topk(spark, sf):
 
 def _evaluated(spark, sf, reranked=False):
     """questions, ranked, judged, per-question metrics."""
-    qrels = bind.judgements(spark, sf)
-    asked = bind.questions(spark, sf, qrels)
-    ranked = _bm25(spark, sf, 20 if reranked else TOP_K)
+    return _judged(spark, sf, bind.benchmark(spark, sf), _bm25(spark, sf, 20 if reranked else TOP_K), reranked)
+
+
+def _judged(spark, sf, known, ranked, reranked=False):
+    qrels, asked = known.judgements(), known.questions()
     if reranked:
         ranked = retrieval.rerank(ranked, asked, bind.chunks(spark, sf), top_k=TOP_K)
-    ranked = ranked.select("question_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "doc_id", "score")
-    judged = metrics.judge(ranked, qrels, bind.near_misses(spark, sf, asked))
+    ranked = ranked.filter(F.col("rank") <= TOP_K).select("question_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "doc_id", "score")
+    ranked = written(ranked, "ranked")
+    judged = metrics.judge(ranked, qrels, known.near_misses())
     return asked, ranked, judged, metrics.per_question(asked, judged, qrels, TOP_K)
 
 
@@ -211,7 +221,8 @@ def unanswerable_metrics(spark, sf):
 
 
 def _compared(spark, sf):
-    left, right = _evaluated(spark, sf), _evaluated(spark, sf, reranked=True)
+    known, wide = bind.benchmark(spark, sf), written(_bm25(spark, sf, 20), "ranked")
+    left, right = _judged(spark, sf, known, wide), _judged(spark, sf, known, wide, reranked=True)
     return metrics.matched(left[3], right[3]), left[1], right[1]
 
 
@@ -243,7 +254,7 @@ def validate_summary(spark, sf):
 
 @query
 def near_duplicate_pairs(spark, sf):
-    return validation.near_duplicate_pairs(bind.table(spark, sf, "benchmark"), "item_id", "text")
+    return validation.near_duplicate_pairs(bind.question_copies(spark, sf))
 
 
 @query
@@ -326,13 +337,13 @@ def issue_counts(spark, sf):
 
 @query
 def explorer_filter(spark, sf):
-    asked = bind.questions(spark, sf)
+    asked = bind.benchmark(spark, sf).questions()
     return evaluation.explore(asked, bind.reviews(spark, sf), text="an", difficulty="medium", issues_only=True).select("question_id", "question", "topic")
 
 
 @query
 def facets(spark, sf):
-    return evaluation.facets(bind.questions(spark, sf))
+    return evaluation.facets(bind.benchmark(spark, sf).questions())
 
 
 @query

@@ -70,19 +70,20 @@ def search(spark: SparkSession, query: str, chunks: str, top_k: int = 5, retriev
 
 def validate(spark: SparkSession, questions: str, chunks: str) -> tuple[DataFrame, dict[str, Any]]:
     """All findings and the summary; rows that lack a key count for the duplicate rules only."""
-    rows, lines = read_questions(spark, questions), spark.read.text(questions).filter("trim(value) <> ''")
-    lost = validation.missing_fields(lines)
-    whole = rows.join(lost.select("question_id"), "question_id", "left_anti")
-    found = validation.validate(whole, read_chunks(spark, chunks)).filter("rule not in ('duplicate_id', 'near_duplicate')")
-    again = validation.validate(rows, read_chunks(spark, chunks)).filter("rule in ('duplicate_id', 'near_duplicate')")
+    lines = spark.read.text(questions).filter("trim(value) <> ''").withColumn("row", F.monotonically_increasing_id())
+    rows = lines.select("row", "value", F.from_json("value", QUESTIONS, {"mode": "PERMISSIVE"}).alias("q")).select("row", "value", "q.*")
+    complete = F.size(F.array_except(F.array(*map(F.lit, validation.REQUIRED)), F.json_object_keys("value"))) == 0
+    whole, known = rows.filter(complete), read_chunks(spark, chunks)
+    found = validation.row_rules(whole).unionByName(validation.reference_rules(whole, known)).unionByName(validation.not_boolean(lines.filter(complete)))
+    found = found.unionByName(validation.missing_fields(lines)).unionByName(validation.duplicate_rules(rows))
     report: dict[str, Any] = {"num_questions": rows.count(), **{p: {} for p in _PARTS.values()}}
     for r in validation.summary(whole).collect():  # a benchmark's few facets and gold documents
         report[_PARTS[r["scope"]]][r["value"]] = r["n"]
-    return lost.unionByName(found).unionByName(again), report
+    return found, report
 
 
 def _qrels(questions: DataFrame) -> DataFrame:
-    return questions.select("question_id", F.explode("qrels").alias("q")).select("question_id", "q.*")
+    return questions.select("question_id", F.posexplode("qrels").alias("pos", "q")).select("question_id", "pos", "q.*")
 
 
 def _judged(questions: DataFrame, ranked: DataFrame, qrels: DataFrame) -> DataFrame:
