@@ -63,11 +63,12 @@ def release(spark: SparkSession, label: str) -> None:
         files.delete(at, True)
 
 
-#: Files of a table up to so many bytes can be one row group, which one task reads.
+#: Files of a table up to so many bytes can be few row groups, each of which one task reads.
 SMALL_TABLE = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of files; a small one is dealt to all cores, as it may be a single row group."""
+    """A table of files; a small one in fewer files than there are cores is dealt to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
+    return df.repartition(cores) if size <= SMALL_TABLE and len(df.inputFiles()) < cores else df
