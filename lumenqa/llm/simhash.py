@@ -13,7 +13,6 @@ has at most 65 members, so nothing grows with the square of a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
-from .common import bounded_broadcast, free_prefix, hex64, written
+from .common import HOT_KEYS, Batches, bounded_broadcast, columns_of, free_prefix, hex64, join_by_key, map_rows, tidied, written
 from .components import connected_components
 
 SEED = 42
@@ -61,13 +60,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): one row per row of ``docs``, fp as a signed long."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return rows.mapInArrow(tidied(run), f"doc_id {id_type}, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -88,8 +87,8 @@ def links(distinct: DataFrame, label: str, distance: int = 2, blocks: int = 5, b
     masks = block_masks(blocks, distance)
     choice = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     keyed = distinct.select("fp", choice.alias("at")).select("fp", "at.block", "at.key")
-    counts = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(keyed.join(counts, ["block", "key"]), label)
+    counts = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("times", F.col("n"))
+    members = written(join_by_key(keyed, counts, ["block", "key"], len(masks) * distinct.count(), "times"), label)
 
     small = members.filter(F.col("n") <= bucket_rows)
     left, right = small.select("block", "key", F.col("fp").alias("a")), small.select("block", "key", F.col("fp").alias("b"))
@@ -130,13 +129,16 @@ def _grouped(
 ) -> DataFrame:
     """(doc_id, fp, root, component_id) of each row; root is the component's least fingerprint."""
     marks = written(fingerprints(docs, id_col, text_col, shingle), label)
-    classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), label)
+    classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("times")), label)
+    total, each = classes.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
     found = connected_components(links(classes.select("fp"), label, distance, blocks, bucket_rows), label)
     rooted = classes.join(found, classes["fp"] == found["node"], "left")
-    rooted = written(rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root")), label)
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "root", "component_id")
-    return marks.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+    rooted = written(rooted.select("fp", "first_id", "times", F.coalesce("root", "fp").alias("root")), label)
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    classes = join_by_key(rooted, least, ["root"], each).select("fp", "root", "component_id", "times")
+    if each > HOT_KEYS:
+        classes = written(classes, label)
+    return join_by_key(marks, classes, ["fp"], total, "times").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "simhash", **options: int) -> DataFrame:
@@ -165,14 +167,14 @@ def _first_rows(docs: DataFrame, groups: DataFrame, several: DataFrame, id_col:
     rows = docs.join(several, docs[id_col] == several[prefix + "gone"], "left_semi")
     at, name = docs.columns.index(text_col), prefix + "fp"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [str(i) for i in range(batch.num_columns + 1)])
 
-    rows = rows.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    rows = map_rows(rows, run, [StructField(name, LongType())])
     roots = groups.filter(F.col("doc_id") == F.col("component_id")).join(several, F.col("doc_id") == F.col(prefix + "gone"), "left_semi")
     roots = roots.select(F.col("doc_id").alias(prefix + "id"), F.col("fp").alias(prefix + "mark"), F.col("root").alias(prefix + "root")).distinct()
     met = rows.join(roots, (rows[id_col] == roots[prefix + "id"]) & (rows[name] == roots[prefix + "mark"]))
-    first = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(prefix + "row")
+    first = F.min(F.struct(*columns_of(docs))).alias(prefix + "row")
     return met.groupBy(prefix + "root").agg(first).select(prefix + "row.*")
