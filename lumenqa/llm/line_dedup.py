@@ -6,11 +6,12 @@ a passage move no boundary inside it.  Chunks have two lines at least, but for t
 of a text.  Multi-line chunks whose hash occurs more than once are compared byte by byte, and all
 but the first occurrence (smallest id, then position) are removed.
 
-An end needs lines beyond a short passage, so :func:`chunked` misses most passages of a few lines.
+An end needs lines beyond a short passage, so :func:`local_minima` misses most passages of a few lines.
 :func:`line_pairs` is the densest cut: each two adjacent lines are a chunk, whose boundaries depend on
 its own lines alone.  Chunks overlap, so the matched ones join up to the whole of each repeated run.
 
-Hashes are counted with map-side aggregation; only chunks that share a hash are shuffled as text.
+Hashes are counted with map-side aggregation; only chunks that share a hash are grouped as text, and
+the first occurrence of a chunk goes back to its rows by its hash, a hot one by broadcast.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, written
+from .common import bounded_broadcast, join_by_key, let, written
 
-#: Repeated hashes (8 bytes) and changed documents (ids and positions) are broadcast up to these counts.
-BROADCAST_HASHES, BROADCAST_DOCS = 500_000, 100_000
+#: Repeated hashes (8 bytes) are broadcast up to this count; changed documents (id and spans) up to
+#: these counts of documents and of spans.
+BROADCAST_HASHES, BROADCAST_DOCS, BROADCAST_SPANS = 500_000, 100_000, 1_000_000
 
 
 def rolling(hashes: Column) -> Column:
-    """The hash of each line and the one after it (the last: of itself)."""
+    """The hash of each line and the one after it (the last: of itself); ``hashes`` is named many times."""
     return F.transform(hashes, lambda h, i: F.xxhash64(h, F.coalesce(F.get(hashes, i + 1), F.lit(0).cast("long"))))
 
 
@@ -43,56 +45,70 @@ def ends(rolled: Column) -> Column:
     return F.filter(at, lambda x: x.isNotNull())
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, start, n, chunk, hash) of each multi-line chunk; mark is a hash of the whole text."""
-    base = docs.filter(F.instr(F.col(text_col), "\n") > 0).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.split(F.col(text_col), "\n", -1).alias("lines")
-    )
-    base = base.withColumn("rolled", rolling(F.transform("lines", lambda line: F.xxhash64(line))))
-    base = base.withColumn("ends", ends(F.col("rolled"))).drop("rolled")
-    spans = F.transform(
-        "ends", lambda e, i: F.struct((F.coalesce(F.get(F.col("ends"), i - 1), F.lit(-1)) + 1).alias("start"), e.alias("end"))
-    )
-    spans = base.withColumn("span", F.explode(F.filter(spans, lambda s: s["end"] > s["start"])))
-    n = F.col("span.end") - F.col("span.start") + 1
-    rows = spans.select(
-        "doc_id", "mark", F.col("span.start").alias("start"), n.alias("n"),
-        F.array_join(F.slice("lines", F.col("span.start") + 1, n), "\n").alias("chunk"),
-    )
-    return rows.withColumn("hash", F.xxhash64("chunk"))
+#: Of the lines of a text, its chunks: an array of (start, n, hash, [chunk]), the text of a chunk if asked for.
+Cut = Callable[[Column, bool], Column]
 
 
-def line_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """As :func:`chunked`, with each two adjacent lines as a chunk; two lines of white space are none."""
-    base = docs.filter(F.instr(F.col(text_col), "\n") > 0).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.split(F.col(text_col), "\n", -1).alias("lines")
-    )
-    pairs = F.transform(
-        F.slice("lines", F.lit(1), F.size("lines") - 1),
-        lambda line, i: F.struct(i.alias("start"), F.concat(line, F.lit("\n"), F.get("lines", i + 1)).alias("chunk")),
-    )
-    # The lines stay behind here: only the pair itself is copied to its row.
-    rows = base.select("doc_id", "mark", pairs.alias("pairs")).select("doc_id", "mark", F.explode("pairs").alias("pair"))
-    rows = rows.select("doc_id", "mark", "pair.start", F.lit(2).alias("n"), "pair.chunk")
-    return rows.filter(F.btrim("chunk", F.lit(" \t\n\x0b\x0c\r")) != "").withColumn("hash", F.xxhash64("chunk"))
+def local_minima(lines: Column, texts: bool) -> Column:
+    """The multi-line chunks between local minima of the rolling hash."""
+
+    def spans(at: Column) -> Column:
+        each = F.transform(at, lambda e, i: F.struct((F.coalesce(F.get(at, i - 1), F.lit(-1)) + 1).alias("start"), e.alias("end")))
+        return F.transform(F.filter(each, lambda s: s["end"] > s["start"]), made)
+
+    def made(s: Column) -> Column:
+        n = s["end"] - s["start"] + 1
+        return let(F.array_join(F.slice(lines, s["start"] + 1, n), "\n"), lambda c: F.struct(s["start"].alias("start"), n.alias("n"), F.xxhash64(c).alias("hash"), *[c.alias("chunk")] * texts))
+
+    return let(F.transform(lines, lambda line: F.xxhash64(line)), lambda h: let(rolling(h), lambda r: let(ends(r), spans)))
+
 
+def line_pairs(lines: Column, texts: bool) -> Column:
+    """As :func:`local_minima`, with each two adjacent lines as a chunk; two lines of white space are none."""
 
-Cut = Callable[[DataFrame, str, str], DataFrame]
+    def pair(i: Column) -> Column:
+        a, b = F.get(lines, i), F.get(lines, i + 1)
+        blank = (F.btrim(a, F.lit(BLANK)) == "") & (F.btrim(b, F.lit(BLANK)) == "")
+        made = F.struct(i.alias("start"), F.lit(2).alias("n"), F.xxhash64(a, b).alias("hash"), *[F.concat(a, F.lit("\n"), b).alias("chunk")] * texts)
+        return F.when(~blank, made)
 
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - 2), pair), lambda x: x.isNotNull())
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup", cut: Cut = chunked) -> DataFrame:
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, cut: Cut = local_minima, texts: bool = True) -> DataFrame:
+    """(doc_id, mark, start, n, hash, [chunk]) of each chunk; mark is a hash of the whole text.
+
+    The lines are an array that is made once a text, so a text costs time in proportion to its lines.
+    """
+    found = let(F.split(F.col(text_col), "\n", -1), lambda lines: cut(lines, texts))
+    rows = docs.filter(F.instr(F.col(text_col), "\n") > 0).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.explode(found).alias("c"))
+    return rows.select("doc_id", "mark", "c.*")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup", cut: Cut = local_minima) -> DataFrame:
     """(doc_id, mark, gone): per changed document the spans (start, n) to remove."""
-    chunks = cut(docs, id_col, text_col)
-    again = written(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash"), label)
-    rows = written(chunks.join(bounded_broadcast(again, BROADCAST_HASHES), "hash", "left_semi"), label)
+    again = chunked(docs, id_col, text_col, cut, texts=False).groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
+    again = written(again.filter("times > 1").select("hash"), label)
+    rows = written(chunked(docs, id_col, text_col, cut).join(bounded_broadcast(again, BROADCAST_HASHES), "hash", "left_semi"), label)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "start")
-    first = rows.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    met = rows.join(first.select("hash", "chunk", "first"), ["hash", "chunk"])  # byte comparison: the chunk is the key
+    # Byte comparison: chunks are alike where the whole text is the key.
+    alike = rows.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_rows"))
+    firsts = alike.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first"), F.sum("n_rows").alias("n_rows"))
+    firsts = written(firsts, label)
+    total, mixed = firsts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.count_if(F.col("kinds") > 1)).first()
+    met = join_by_key(rows.drop("chunk"), firsts.filter("kinds = 1").drop("kinds"), ["hash"], total, "n_rows").drop("hash")
+    if mixed:  # different chunks under one hash: few, as the hash has 64 bits
+        own = rows.join(bounded_broadcast(firsts.filter("kinds > 1").select("hash"), BROADCAST_HASHES), "hash", "left_semi")
+        own = own.join(alike.select("hash", "chunk", "first"), ["hash", "chunk"]).drop("hash", "chunk")
+        met = met.unionByName(own)
     later = met.filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", F.struct("start", "n").alias("span"))
     return written(later.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("gone")), label)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup", cut: Cut = chunked) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "line-dedup", cut: Cut = local_minima) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without repeated chunks, n_lines, removed_lines.
 
     With ``cut=line_pairs`` each later occurrence of a repeated run of two or more lines goes whole.
@@ -101,19 +117,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     than any other.  Rows that repeat both id and text are one document and get the same result.  A
     text of one line is never changed, as chunks have more than one.
     """
-    gone = bounded_broadcast(repeats(docs, id_col, text_col, label, cut), BROADCAST_DOCS)
+    gone = repeats(docs, id_col, text_col, label, cut)
+    n_docs, n_spans = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    if n_docs <= BROADCAST_DOCS and n_spans <= BROADCAST_SPANS:
+        gone = F.broadcast(gone)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "gone")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     met = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left")
-    lines = F.split("text", "\n", -1)
-    # Spans may overlap; sets of line numbers keep this linear in the lines of a text.
-    spans = F.transform("gone", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))
-    met = met.withColumn("gone", F.array_distinct(F.flatten(spans)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    left = F.transform(kept, lambda i: F.get(F.col("lines"), i))
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
-    met = met.withColumn("lines", lines)
+
+    def left(lines: Column) -> Column:
+        # Spans may overlap; sets of line numbers keep this linear in the lines of a text.
+        lost = F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+        return F.struct(text.alias("text"), (F.size(lines) - F.size(kept)).alias("removed"))
+
+    met = met.withColumn("left", F.when(F.col("gone").isNotNull(), let(F.split("text", "\n", -1), left)))
+    n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return met.select(
-        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), removed.cast("long").alias("removed_lines"),
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("left.text")).alias("text"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("left.removed", F.lit(0)).cast("long").alias("removed_lines"),
     )
