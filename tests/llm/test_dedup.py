@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -235,3 +236,70 @@ def test_stages_with_clashing_columns(spark):
         assert got.columns == more.columns
         assert got.filter(" or ".join(f"not `{n}` <=> '{n}'" for n in names)).isEmpty()
         assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in stage(docs).select("doc_id").collect())
+
+
+def test_index_takes_batches(spark):
+    """Batches added one by one give the entries of one load; levels of like size are merged."""
+    rng = random.Random(9)
+    rows = [(i, f"text {rng.randint(0, 60)}") for i in range(300)] + [(None, "text 3"), (None, None), (2, "text 3")]
+    rng.shuffle(rows)
+    index = exact_dedup.Index(spark, "test-index")
+    sizes = []
+    for a in range(0, len(rows), 50):
+        batch = table(spark, rows[a : a + 50])
+        known = {r["digest"] for r in index.known(exact_dedup.flush_runs(batch, "doc_id", "text", exact_dedup.sha256, "test-index")).collect()}
+        before = {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows[:a]}
+        assert known == before & {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows[a : a + 50]}
+        index.add(batch)
+        sizes.append(len(index.levels))
+    assert max(sizes) < exact_dedup.FAN_IN and min(sizes[3:]) < 3  # merged
+    got = {r["digest"]: (r["first"]["doc_id"], r["group_size"]) for r in index.entries().collect()}
+    assert got == {d: (k, n) for _, k, n, d in brute_groups(rows)}
+
+
+def test_filter_loses_nothing(spark):
+    have = spark.range(0, 3000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    found = exact_dedup.Filter.of(have, 3000, "test-filter")
+    asked = spark.range(0, 30_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    got = {r["id"] for r in found.probe(asked).filter("maybe").collect()}
+    assert got >= set(range(3000)) and len(got) < 3000 + 27_000 * 0.1
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    from lumenqa.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(600)] + [(None, -1)], "k int, v int")
+    counts = rows.filter("k < 300").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.col("n") * 2)
+    got = common.join_by_key(rows, counts, ["k"], 600)
+    assert got.columns == ["k", "v", "m"]
+    n = Counter(0 if i % 3 else i for i in range(600))
+    want = [(k, i, 2 * n[k]) for i in range(600) if (k := 0 if i % 3 else i) < 300]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    left = {(r["k"], r["v"]): r["m"] for r in common.join_by_key(rows, counts, ["k"], 600, how="left").collect()}
+    assert len(left) == 601 and left[(None, -1)] is None and left[(0, 1)] == 2 * n[0] and left[(597, 597)] is None
+
+
+def test_line_dedup_with_one_hash_for_all(spark, monkeypatch):
+    """Chunks that share a hash are told apart by their bytes."""
+    rows = [(1, "a\nb\nc"), (2, "x\na\nb"), (3, "c\nd"), (4, "a\nb"), (None, "c\nd")]
+
+    def weak(lines, texts):
+        made = line_dedup.line_pairs(lines, True)
+        return F.transform(made, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.lit(7).cast("long").alias("hash"), *[c["chunk"].alias("chunk")] * texts))
+
+    got = {str(r["doc_id"]): r["text"] for r in line_dedup.remove_repeats(table(spark, rows), cut=weak).collect()}
+    assert got == {"1": "a\nb\nc", "2": "x", "3": "c\nd", "4": "", "None": ""}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        df = table(spark, [(1, "\n".join(f"line {i}" for i in range(n)))])
+        start = time.perf_counter()
+        assert line_dedup.remove_repeats(df, cut=line_dedup.line_pairs).first()["n_lines"] == n
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(64_000) < 4 * took(4_000) + 10  # 16 times the lines; in proportion to their square it was minutes
