@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Batches, tidied
+
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -37,8 +39,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no text of the page.
 HIDDEN = frozenset("script style noscript template svg head title object iframe canvas audio video textarea select option datalist button".split())
 RAW = frozenset("script style textarea title".split())
+#: Without an end tag these would hide the rest of the page; such a start tag is passed over.
+NEEDS_END = HIDDEN - {"script", "style", "svg", "head"}
 #: A start tag here ends an open p; the others end an open element of their own kind.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: What can't stand in a drawing: a start tag here ends an open one, unless that holds foreign content.
+NO_DRAWING = CLOSES_P | frozenset("body br center dd dt embed img li td th tr".split())
 PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "p": ("td", "th", "li", "div", "section", "article", "main", "body", "aside", "blockquote")}
 
@@ -55,43 +61,85 @@ class Block:
     linked: int
 
 
+class _Open:
+    """The open elements, the names of all of them and how many are hidden, kept up at each step."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, tuple[str, ...]]] = []
+        self.names: dict[str, int] = {}
+        self.hidden = 0
+
+    def push(self, tag: str, marks: tuple[str, ...]) -> None:
+        self.items.append((tag, marks))
+        self.hidden += tag in HIDDEN
+        for name in ("t:" + tag, *marks):
+            self.names[name] = self.names.get(name, 0) + 1
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.items) > at:
+            tag, marks = self.items.pop()
+            self.hidden -= tag in HIDDEN
+            for name in ("t:" + tag, *marks):
+                self.names[name] -= 1
+                if not self.names[name]:
+                    del self.names[name]
+
+    def has(self, tag: str) -> bool:
+        return "t:" + tag in self.names
+
+    def close(self, tags: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
+        """Closes the innermost of ``tags``, if one is open inside the innermost of ``scope``."""
+        if any(map(self.has, tags)):
+            for i in range(len(self.items) - 1, -1, -1):
+                if self.items[i][0] in tags:
+                    self.cut(i)
+                    return
+                if self.items[i][0] in scope:
+                    return
+
+    def end_head(self) -> None:
+        if self.items and self.items[-1][0] == "head":
+            self.cut(len(self.items) - 1)
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The non-empty leaf blocks of a page, in order; null and empty pages have none."""
+    """The non-empty leaf blocks of a page, in order; null and empty pages have none.
+
+    Broken markup is read about as browsers do: an end tag closes what is open inside its element
+    and is ignored if there is none, a peer or a block ends an open item or paragraph, the first
+    content ends an open head, and ``<svg/>`` is empty.  Content goes on after a hidden element that
+    is never closed (a script or style sheet excepted: it is the rest of the page).
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     buffer: list[str] = []
-    linked = hidden = depth = 0
-    at = 0
+    linked = depth = at = 0
+    last_ends: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            names: dict[str, None] = {}
-            for tag, marks in stack:
-                names["t:" + tag] = None
-                for m in marks:
-                    names[m] = None
-            out.append(Block(text, stack[-1][0] if stack else "body", tuple(names), min(linked, len(text))))
+            out.append(Block(text, stack.items[-1][0] if stack.items else "body", tuple(stack.names), min(linked, len(text))))
         linked = 0
 
-    def end_head() -> None:
-        nonlocal hidden
-        if stack and stack[-1][0] == "head":
-            stack.pop()
-            hidden -= 1
-
     def text(piece: str) -> None:
         nonlocal linked
-        if hidden and piece.strip():
-            end_head()
-        if piece and not hidden:
+        if stack.hidden and piece.strip():
+            stack.end_head()
+        if piece and not stack.hidden:
             buffer.append(piece)
             if depth:
                 linked += len(piece)
 
+    def ends_later(tag: str) -> bool:
+        if tag not in last_ends:
+            last_ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return last_ends[tag] >= at
+
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
@@ -108,11 +156,13 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if not closing and tag not in IN_HEAD:
-            end_head()
+            stack.end_head()
         if tag in ANNOTATION:
             end = None if closing else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else at
             continue
+        if not closing and tag in NO_DRAWING and stack.has("svg") and not stack.has("foreignobject"):
+            stack.close(("svg",))
         if tag in INLINE or tag in MATH:
             if tag == "br":
                 text(" ")
@@ -122,25 +172,13 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         depth = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    hidden -= sum(1 for t, _ in stack[i:] if t in HIDDEN)
-                    del stack[i:]
-                    break
+            stack.close((tag,))
             continue
-        if tag in VOID:
+        if tag in VOID or (tag == "svg" and m[3].endswith("/")) or (tag in NEEDS_END and not ends_later(tag)):
             continue
-        for peer, scope in _closed_by(tag):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in peer:
-                    hidden -= sum(1 for t, _ in stack[i:] if t in HIDDEN)
-                    del stack[i:]
-                    break
-                if stack[i][0] in scope:
-                    break
-        stack.append((tag, _marks(m[3])))
-        if tag in HIDDEN:
-            hidden += 1
+        for peers, scope in _closed_by(tag):
+            stack.close(peers, scope)
+        stack.push(tag, _marks(m[3]))
         if tag in RAW:  # no tags inside
             end = re.compile(rf"</{tag}", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -262,13 +300,12 @@ ASIDE = {
 MAIN = "article post content entry entry-content story body-text main-content article-body text post-body page".split()
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
-    """Made-up pages and the texts of their article's blocks."""
+def labelled_pages(n: int = 600, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
+    """Made-up pages and the texts of their article's blocks; words are any letters."""
     rng = random.Random(seed)
-    syllables = "an the er on ti es re or en ha ed st in ou ent ver sch ção ment que ión é ü les der und ar as is".split()
 
     def word() -> str:
-        return "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+        return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiouäéó") for _ in range(rng.randint(1, 4)))
 
     def words(a: int, b: int, dot: str = ".") -> str:
         return " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + (dot if rng.random() < 0.9 else "")
@@ -286,7 +323,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> Iterator[tuple[str, list[str]
         real = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         if real and rng.random() < 0.65:
             return f"<{real}{rng.choice(('', ' ' + named))}>{inner}</{real}>"
-        tag = rng.choice(("div", "div", "section", "aside" if kind in ("ad", "notice", "social") else "div"))
+        tag = rng.choice(("div", "div", "section", "aside" if kind in ("ad", "notice", "social") else "div", cell or "ul"))
         return f"<{tag} {named}>{inner}</{tag}>"
 
     def block(kind: str) -> str:
@@ -304,8 +341,10 @@ def labelled_pages(n: int = 400, seed: int = 5) -> Iterator[tuple[str, list[str]
         inner = rng.choice((words(3, 30), f"<p>{words(3, 40)}</p>", f"<h3>{words(1, 4, '')}</h3><p>{words(3, 25)}</p>", links(rng.randint(2, 5))))
         return boxed(kind, inner)
 
+    cell = ""  # in pages laid out as a table, its cells are boxes
     for _ in range(n):
         truth: list[str] = []
+        cell = "td" if rng.random() < 0.12 else ""
 
         def own(tag: str, a: int, b: int, truth: list[str] = truth) -> str:
             text = words(a, b)
@@ -314,8 +353,8 @@ def labelled_pages(n: int = 400, seed: int = 5) -> Iterator[tuple[str, list[str]
             if rng.random() < 0.25:
                 cut = text.split(" ", 1)
                 shown = f"<{(t := rng.choice(('b', 'i', 'em', 'a')))}>{cut[0]}</{t}> {cut[1]}" if len(cut) > 1 else text
-            if rng.random() < 0.15:
-                shown = f"<b>{shown}<br>"
+            if rng.random() < 0.2:  # inline elements that are never closed, or hold a whole block
+                shown = rng.choice(("<b>{}", "<i>{}<br>", "<span>{}<br/>", "<font size=2>{}", "<a name=x></a>{}", "<em><b>{}</b>", "{}<br><br>", "<strong>{}</strong>")).format(shown)
             return f"<{tag}>{shown}" + (f"</{tag}>" if tag != "p" or rng.random() < 0.8 else "")
 
         inner = own("h1", 1, 9) if rng.random() < 0.85 else ""
@@ -330,13 +369,23 @@ def labelled_pages(n: int = 400, seed: int = 5) -> Iterator[tuple[str, list[str]
                 inner += "<ul>" + "".join(own("li", 2, 20) for _ in range(rng.randint(1, 4))) + "</ul>"
             elif r < 0.94:
                 inner += "<blockquote>" + own("p", 3, 30) + "</blockquote>"
-            elif r < 0.97:
+            elif r < 0.96:
                 inner += "<table><tr>" + own("td", 1, 6) + own("td", 1, 6) + "</tr></table>"
+            elif r < 0.97:
+                inner += "<dl>" + own("dt", 1, 4) + own("dd", 3, 20) + "</dl>"
+            elif r < 0.985:
+                inner += own("pre", 1, 12)
+            else:
+                inner += "<figure><img src=x>" + own("figcaption", 2, 12) + "</figure>"
             if rng.random() < 0.12 and (inside := rng.choice(("ad", "aside", "form", "social", "notice", "nav"))):
                 inner += block(inside)
         if "comments" in kinds and rng.random() < 0.5:
             inner += block("comments")
             kinds.remove("comments")
+        if rng.random() < 0.25:
+            inner = f"<section>{inner}</section>"
+        elif rng.random() < 0.2:
+            inner = f'<div class="{rng.choice(MAIN)}">{inner}</div>'
         shape = rng.random()
         if shape < 0.55:
             body = f"<article>{inner}</article>"
@@ -351,6 +400,9 @@ def labelled_pages(n: int = 400, seed: int = 5) -> Iterator[tuple[str, list[str]
         above = [block(k) for k in kinds if k in ("nav", "header", "notice", "ad", "aside", "form") and rng.random() < 0.7]
         below = [block(k) for k in kinds if k in ("footer", "aside", "ad", "comments", "form", "notice", "social", "nav") and rng.random() < 0.8]
         rng.shuffle(below)
+        if cell:
+            tr = lambda x: f"<tr>{x if x.startswith('<td') else f'<td>{x}</td>'}</tr>"
+            above, body, below = ["<table>", *map(tr, above)], tr(f"<td>{body}</td>"), [*map(tr, below), "</table>"]
         yield f"<html><head><title>{word()}</title><style>p{{}}</style></head><body>{''.join(above)}{body}{''.join(below)}</body></html>", truth
 
 
@@ -378,14 +430,15 @@ def main_text(page: str | None, chain: Chain) -> str:
 def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    Null, empty and textless pages give the empty text; broken markup is read as browsers roughly do
-    (open ends are closed, a bare ``<`` is text).  Repeated rows give repeated results.
+    Null, empty and textless pages give the empty text; broken markup is read as :func:`blocks` says.
+    Repeated rows give repeated results, null ids and addresses stay null, and an empty table gives
+    an empty result.  Only the three columns are read.
     """
     chain = chain or default_chain()
     shared = pages.sparkSession.sparkContext.broadcast((chain.weights, chain.moves))  # a few hundred numbers
     types = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         model = Chain(*shared.value)
         for batch in batches:
             texts = [main_text(x.as_py(), model) for x in batch.column(2)]
@@ -393,4 +446,4 @@ def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, f"page_id {types[0]}, url {types[1]}, text string, n_chars long")
+    return rows.mapInArrow(tidied(run), f"page_id {types[0]}, url {types[1]}, text string, n_chars long")
