@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_broadcast, free_prefix, written
+from .common import SPACE, bounded_broadcast, columns_of, free_prefix, written
 
 #: Ids of several rows are broadcast up to this count.
 BROADCAST_REPEATED = 500_000
@@ -142,7 +142,8 @@ def balanced_counts(
     """How often each row of ``sized`` (row_id, doc_id, source, size) is taken.
 
     Returns doc_id, row_id, size, source_size, target, times.  A source without words has target 0
-    and is taken 0 times.  The draw depends only on ids, sizes, sources and the seed.
+    and is taken 0 times.  The draw depends only on ids, sizes, sources and the seed; for rows without
+    an id also on their place in the files.
     """
     targets = written(source_targets(sized, weights, share, cap, label), label)
     few = targets.count() <= DRIVER_SOURCES // 10
@@ -156,7 +157,8 @@ def balanced_counts(
         F.floor(ratio).cast("long").alias("base"),
         (ratio - F.floor(ratio)).alias("p"),
         blocks.cast("long").alias("blocks"),
-        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), blocks).cast("long").alias("block"),
+        # Rows without an id are told apart by their place, so that no block gets them all.
+        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed), F.when(F.col("doc_id").isNull(), F.col("row_id"))), blocks).cast("long").alias("block"),
     )
     most = targets.agg(F.max("docs")).first()[0] or 0
     levels = 1
@@ -211,7 +213,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Times are joined back by id; rows that repeat an id are told apart by source, size and number.
     """
-    prefix, columns = free_prefix(docs), docs.columns
+    prefix, columns = free_prefix(docs), columns_of(docs)
     at, own, words, number, times = (prefix + x for x in ("id", "source", "size", "number", "times"))
     sized = written(sized_documents(docs, id_col, text_col, source_col), label)
     counts = written(balanced_counts(sized, label=label, **options), label)
