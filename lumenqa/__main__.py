@@ -6,6 +6,7 @@ import argparse
 import importlib
 from typing import Any
 
+from .functions import cleaning
 from .operators import generation, retrieval
 from .plans import runs
 
@@ -37,20 +38,25 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--" + flag.replace("_", "-"), **kind)
 
     chunks, search = "data/processed/chunks.jsonl", {"candidate_k": 20, "dense_model": None, "reranker_model": None}
-    add("ingest", "sources", raw_dir="data/raw", processed_dir="data/processed", refresh=False)
+    add("ingest", "sources", raw_dir="data/raw", processed_dir="data/processed", refresh=False, publisher=None, domain=None)
     add("chunk", "documents", output=chunks, target_words=320, max_words=380, overlap_words=50)
     add("search", "query", chunks=chunks, top_k=5, expand=False, retriever="bm25", **search)
     add("validate", "questions", chunks=chunks)
     add("evaluate", "questions", chunks=chunks, retriever="bm25", output=None, predictions=None, top_k=10, expand=False, **search)
     add("compare", left=None, right=None, left_name="left", right_name="right", output="data/results/retrieval_comparison.json")
-    add("generate", "questions", chunks=chunks, system="bm25_rag", output=None, top_k=5, max_iterations=5, model=None, temperature=0.0, limit=-1, question_id=list, dry_run=False, **search)
+    add("generate", "questions", chunks=chunks, system="bm25_rag", output=None, top_k=5, max_iterations=5, model=None, temperature=0.0, limit=-1, question_id=list, dry_run=False, key_variable=None, strict=False, **search)
     add("score", "generations", questions="data/benchmark/questions.jsonl", chunks=chunks, output=None, review_output=None)
     add("review", results_dir="data/results", template=list, combined_output="data/results/reviewed_generation_metrics.json")
+    add("dashboard", "questions", metrics="data/results/reviewed_generation_metrics.json", results_dir="data/results", template=list, output="data/results/dashboard-data.json")
     return top
 
 
 def main(argv: list[str] | None = None, spark: Any = None) -> int:
-    """0, or 1 if a benchmark has errors.  Models are given as ``module:name``."""
+    """0, or 1 if a benchmark has errors.
+
+    Models are given as ``module:name``; with ``--strict`` a language model gets the strict request as
+    a fourth argument, and with ``--key-variable`` a run needs that variable of the environment.
+    """
     a = parser().parse_args(argv)
     if spark is None:
         from pyspark.sql import SparkSession
@@ -60,7 +66,8 @@ def main(argv: list[str] | None = None, spark: Any = None) -> int:
     if hasattr(a, "candidate_k"):
         options = {"candidate_k": a.candidate_k, "encoder": named(a.dense_model, retrieval.hashed_encoder), "scorer": named(a.reranker_model, retrieval.overlap_scorer)}
     if a.run == "ingest":
-        runs.ingest(spark, a.sources, a.raw_dir, a.processed_dir, a.refresh)
+        furniture = cleaning.FURNITURE.of(a.publisher, a.domain or "") if a.publisher else cleaning.FURNITURE
+        runs.ingest(spark, a.sources, a.raw_dir, a.processed_dir, a.refresh, furniture=furniture)
     elif a.run == "chunk":
         runs.chunk(spark, a.documents, a.output, a.target_words, a.max_words, a.overlap_words)
     elif a.run == "search":
@@ -80,7 +87,9 @@ def main(argv: list[str] | None = None, spark: Any = None) -> int:
     elif a.run == "generate":
         if not (a.model or a.dry_run):
             raise SystemExit("a model (module:name) or --dry-run is needed")
-        generator = None if a.dry_run else generation.Generator(named(a.model), a.temperature)
+        if a.key_variable and not a.dry_run:
+            generation.require_key(a.key_variable)
+        generator = None if a.dry_run else generation.Generator(named(a.model), a.temperature, model=a.model, schemas=a.strict)
         runs.generate(
             spark, a.questions, a.chunks, a.system, a.output or f"data/results/generations_{a.system}.jsonl", generator, a.top_k, a.max_iterations,
             a.model or "none", a.limit if a.limit >= 0 else None, a.question_id, **options,
@@ -88,6 +97,8 @@ def main(argv: list[str] | None = None, spark: Any = None) -> int:
     elif a.run == "score":
         stem = a.generations.rstrip("/").rpartition("/")[2].removesuffix(".jsonl")
         runs.evaluate_generations(spark, a.generations, a.questions, a.chunks, a.output or f"data/results/{stem}_eval.json", a.review_output or f"data/results/{stem}_review_template.jsonl")
+    elif a.run == "dashboard":
+        runs.dashboard(spark, a.questions, a.metrics, a.output, a.template, a.results_dir)
     else:
         runs.evaluate_reviews(spark, a.combined_output, a.template, a.results_dir)
     return 0

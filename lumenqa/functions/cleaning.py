@@ -1,15 +1,19 @@
 """Cleaning of extracted page text, line by line, as Column functions.
 
-Publisher-specific lines and repairs are parameters: a list of patterns for lines that every page
-repeats, and a map of literal repairs.
+What a publisher's pages repeat is a parameter (:class:`Furniture`), and so is the map of literal repairs.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_title_line, strip
+from .columns import cut_at, let
+from .text import LINE_BREAK, is_title_line, strip
 
 # Glyphs of a symbol font, and literal repairs of broken words.
 BULLETS, DROPPED = "", ""
@@ -29,11 +33,40 @@ REPAIRS = {
     "non -punitive": "non-punitive",
 }
 CONTENTS_TITLES = ("Table of Contents", "CONTENTS", "INDEX")
-#: Lines that policy pages repeat; publishers add their own.
-CHROME = (
-    r"Library Volume:.*", r"Volume:.*", r"Chapter:.*", r"Policy\s+7\.\d+\s+Last Updated:.*", r"Responsible Executive:.*",
-    r"Responsible Office.*", r"Originally Issued:.*", r"Current Version Approved:.*", r"University Policy 7\..*", r"Last updated:.*", r"POLICY\s+\d+\.\d+",
+# Lines that policy pages repeat, by how they start, as a whole, as a whole by pattern; and a sentence cut out of the text.
+REPEATED_STARTS = (
+    "Library Volume:", "Volume:", "Chapter:", "Responsible Executive:", "Responsible Office", "Originally Issued:", "Current Version Approved:", "University Policy 7.", "Last updated:",
 )
+REPEATED_LINES = ("Processing and Reporting Changes in Student Enrollment Status Under Title IV", "Voluntary Leave of Absence for Students")
+REPEATED_PATTERNS = (r"Policy\s+7\.\d+\s+Last Updated:.*", r"POLICY\s+\d+\.\d+")
+CUT_SENTENCES = ("Provost for Enrollment Last Updated: March 18, 2019 Processing and Reporting Changes in Student Enrollment Status Under Title IV",)
+
+
+@dataclass(frozen=True)
+class Furniture:
+    """What the pages of a publisher repeat: lines that go whole, and parts that are cut out of lines or texts."""
+
+    starts: tuple[str, ...] = REPEATED_STARTS
+    lines: tuple[str, ...] = REPEATED_LINES
+    patterns: tuple[str, ...] = REPEATED_PATTERNS
+    contained: tuple[str, ...] = ()
+    cut_patterns: tuple[str, ...] = ()
+    cut_sentences: tuple[str, ...] = CUT_SENTENCES
+
+    def of(self, publisher: str, domain: str) -> Furniture:
+        """This and what carries the publisher's name and address: office and library lines, running heads and feet."""
+        office, at, name = "University Policy Office", re.escape(domain), re.escape(publisher)
+        return Furniture(
+            (*self.starts, f"{publisher} Policy Library", f"{publisher} University Policy 7.1,"),
+            (*self.lines, f"{office} www.policy.{domain}"),
+            (*self.patterns, rf"{office}\s+www\.policy\.{at}"),
+            (*self.contained, f"{publisher} {office} policy.{domain}"),
+            (*self.cut_patterns, rf"{name} {office}\s+policy\.{at}", rf"{office}\s+www\.policy\.{at}", rf"^{name} {office}\b", rf"^policy\.{at}\b"),
+            self.cut_sentences,
+        )
+
+
+FURNITURE = Furniture()
 
 
 def fold_glyphs(text: Column) -> Column:
@@ -44,7 +77,7 @@ def fold_glyphs(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines with runs of blanks squeezed and ends stripped."""
-    return F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1), lambda x: strip(F.regexp_replace(x, "[ \t]+", " ")))
+    return F.transform(F.split(text, LINE_BREAK, -1), lambda x: strip(F.regexp_replace(x, "[ \t]+", " ")))
 
 
 def is_contents_line(line: Column) -> Column:
@@ -54,8 +87,14 @@ def is_contents_line(line: Column) -> Column:
     return line.isin(*CONTENTS_TITLES) | line.rlike(r"(\.{5,}|_{5,})\s*\d+") | ((size > 20) & (leaders / size > 0.25))
 
 
-def is_chrome(line: Column, patterns: tuple[str, ...] = CHROME) -> Column:
-    return line.rlike("^(?:" + "|".join(patterns) + ")$")
+def is_repeated(line: Column, furniture: Furniture = FURNITURE) -> Column:
+    """Whether a stripped line is one that pages repeat."""
+    tests = [F.startswith(line, F.lit(x)) for x in furniture.starts] + [F.contains(line, F.lit(x)) for x in furniture.contained]
+    if furniture.lines:
+        tests.append(line.isin(*furniture.lines))
+    if furniture.patterns:
+        tests.append(line.rlike("^(?:" + "|".join(furniture.patterns) + ")$"))
+    return reduce(Column.__or__, tests, F.lit(False)) & (line != "")
 
 
 def clean_line(line: Column, removed: tuple[str, ...] = ()) -> Column:
@@ -67,29 +106,43 @@ def clean_line(line: Column, removed: tuple[str, ...] = ()) -> Column:
     return F.when(is_contents_line(line), F.lit("")).otherwise(line)
 
 
-def joins_previous(previous: Column, line: Column) -> Column:
-    """Whether a line goes on where the previous one was wrapped."""
-    marked = F.startswith(previous, F.lit("[Page ")) | F.startswith(line, F.lit("[Page "))
+#: What ends a line that nothing is joined to.
+END_MARKS = r"[.?!:;)]$"
+
+
+def never_joined(line: Column) -> Column:
+    """A line that goes on from no other: blank, a page mark, a title, a list item."""
     item = line.rlike(r"^(\d+\.|[a-zA-Z]\.|[ivxlcdmIVXLCDM]+\.)\s+")
-    return ~((previous == "") | marked | is_title_line(previous) | is_title_line(line) | item | previous.rlike(r"[.?!:;)]$"))
+    return (line == "") | F.startswith(line, F.lit("[Page ")) | is_title_line(line) | item
 
 
 def merge_wrapped(rows: Column) -> Column:
-    """A left fold: each line is appended to the last kept one or kept itself."""
-    empty = F.array().cast("array<string>")
+    """Wrapped lines put together: each goes behind the text before it, unless that or it forbids.
+
+    Lines that can't be joined, whatever stands before them, cut the rows into stretches; only inside
+    a stretch does a join depend on what was joined before, so only stretches are folded.
+    """
+
+    def stretch(_: Column, part: Column) -> Column:
+        def step(kept: Column, line: Column) -> Column:
+            last = F.element_at(kept, -1)
+            goes_on = ~(F.startswith(last, F.lit("[Page ")) | is_title_line(last))
+            joined = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(F.concat_ws(" ", last, line)))
+            return F.when(goes_on, joined).otherwise(F.concat(kept, F.array(line)))
+
+        return F.aggregate(F.slice(part, F.lit(2), F.size(part)), F.slice(part, F.lit(1), F.lit(1)), step)
 
-    def step(kept: Column, line: Column) -> Column:
-        last = F.element_at(kept, -1)
-        front = F.slice(kept, F.lit(1), F.size(kept) - 1)
-        joined = F.concat(front, F.array(F.concat_ws(" ", last, line)))
-        return F.when((F.size(kept) == 0) | (line == ""), F.concat(kept, F.array(line))).when(joins_previous(last, line), joined).otherwise(F.concat(kept, F.array(line)))
+    def cut(lines: Column) -> Column:
+        first = lambda line, i: (i == 0) | never_joined(line) | F.coalesce(F.get(lines, i - 1).rlike(END_MARKS + "|^$"), F.lit(False))
+        starts = F.filter(F.transform(lines, lambda line, i: F.when(first(line, i), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.flatten(cut_at(lines, at, stretch)))
 
-    return F.aggregate(rows, empty, step)
+    return let(rows, cut)
 
 
-def repair(text: Column, repairs: dict[str, str] = REPAIRS, removed: tuple[str, ...] = ()) -> Column:
-    """De-hyphenation, closed-up hyphens, literal repairs."""
-    for literal in removed:
+def repair(text: Column, repairs: dict[str, str] = REPAIRS, cut: tuple[str, ...] = ()) -> Column:
+    """Sentences cut out, de-hyphenation, closed-up hyphens, literal repairs."""
+    for literal in cut:
         text = F.replace(text, F.lit(literal), F.lit(""))
     text = F.regexp_replace(text, r"\b([A-Za-z]+)-\s+([A-Za-z]+)\b", "$1$2")
     text = F.regexp_replace(text, r"\b([A-Za-z]+)\s+-\s+([A-Za-z]+)", "$1-$2")
@@ -105,17 +158,17 @@ def squeezed(rows: Column) -> Column:
 
 def clean_html_text(text: Column) -> Column:
     """Text from web pages."""
-    joined = F.array_join(squeezed(lines(fold_glyphs(text))), "\n")
+    joined = F.array_join(let(lines(fold_glyphs(text)), squeezed), "\n")
     return strip(F.regexp_replace(joined, "\n{3,}", "\n\n"))
 
 
-def clean_pdf_text(text: Column, chrome: tuple[str, ...] = CHROME, removed: tuple[str, ...] = ()) -> Column:
+def clean_pdf_text(text: Column, furniture: Furniture = FURNITURE) -> Column:
     """Text from paged documents.
 
     Blank lines are squeezed before page numbers and repeated lines go, so blank, number, blank
     leaves two blanks; wrapped lines are merged before blank runs are cut to one.
     """
-    rows = squeezed(F.transform(lines(fold_glyphs(text)), lambda x: clean_line(x, removed)))
-    rows = F.filter(rows, lambda x: ~x.rlike(r"^\d+$") & ~is_chrome(x, chrome))
-    joined = repair(F.array_join(merge_wrapped(rows), "\n"), removed=())
+    rows = let(F.transform(lines(fold_glyphs(text)), lambda x: clean_line(x, furniture.cut_patterns)), squeezed)
+    rows = F.filter(rows, lambda x: ~x.rlike(r"^\d+$") & ~is_repeated(x, furniture))
+    joined = repair(F.array_join(merge_wrapped(rows), "\n"), cut=furniture.cut_sentences)
     return strip(F.regexp_replace(joined, "\n{3,}", "\n\n"))

@@ -129,7 +129,43 @@ def shown_answer(answer: Column, reason: Column) -> Column:
     return F.coalesce(F.nullif(answer, F.lit("")), F.nullif(reason, F.lit("")), F.lit("No answer recorded."))
 
 
+# What the explorer shows of a question and of a review.
+QUESTION_COLUMNS = (
+    "question_id", "question", "answerable", "topic", "difficulty", "question_type", "gold_answer_short", "gold_chunk_ids", "gold_doc_ids", "negative_rationale",
+)
+REVIEW_COLUMNS = (
+    "question_id", "system", "question", "answerable", "gold_answer_short", "gold_chunk_ids", "model_answer", "abstained", "abstention_reason", "citations", "retrieved_chunk_ids",
+    "manual_correct", "manual_citation_supported", "manual_hallucinated", "review_abstention_correct", "review_hallucination_severity", "manual_notes",
+)
+
+
+def compact_questions(questions: DataFrame) -> DataFrame:
+    return questions.select(*QUESTION_COLUMNS)
+
+
+def compact_reviews(reviews: DataFrame) -> DataFrame:
+    return reviews.select(*REVIEW_COLUMNS)
+
+
 def bundle(questions: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row per question with its reviews keyed by system."""
-    keyed = reviews.groupBy("question_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", F.struct("manual_correct", "manual_citation_supported", "manual_hallucinated"))))).alias("systems"))
+    """One row per question with its reviews keyed by system; of repeated reviews the last by value counts."""
+    labels = F.struct(*[c for c in REVIEW_COLUMNS if c in reviews.columns and c not in ("question_id", "system")])
+    once = reviews.groupBy("question_id", "system").agg(F.max(labels).alias("review"))
+    keyed = once.groupBy("question_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", "review")))).alias("reviews"))  # one a system
     return questions.join(keyed, "question_id", "left")
+
+
+def question_detail(questions: DataFrame, reviews: DataFrame, shown: DataFrame | None = None, selected: str | None = None, order: str = "question_id") -> DataFrame:
+    """The selected question, else the first of those ``shown``, else the first: one row per system that has a review.
+
+    ``gold`` is the gold answer of an answerable question and the rationale of another; a question
+    without reviews has one row without a system.
+    """
+    shown = questions if shown is None else shown
+    rank = F.when(F.col("question_id").cast("string").eqNullSafe(F.lit(selected)), 0).when(F.col("__shown"), 1).otherwise(2)
+    marked = questions.join(shown.select("question_id", F.lit(True).alias("__shown")).distinct(), "question_id", "left").withColumn("__rank", rank)
+    one = marked.orderBy("__rank", order).limit(1)
+    gold = F.when(F.col("answerable"), F.col("gold_answer_short")).otherwise(F.col("negative_rationale"))
+    place = F.array_position(F.array(*map(F.lit, SYSTEMS)), F.col("system")).cast("int")
+    kept = reviews.select("question_id", "system", place.alias("position"), *[c for c in reviews.columns if c not in one.columns and c != "system"]).filter("position > 0")
+    return one.select("question_id", "question", "answerable", gold.alias("gold")).join(kept, "question_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -13,11 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import scratch
 from ..sources.files import utc_stamp
 from .retrieval import bm25_search
 
+# The generation systems, and what a structured answer must look like.
 SYSTEMS = ("non_rag", "bm25_rag", "dense_rag", "bm25_rerank_rag", "dense_rerank_rag", "iterkey_rag")
 ANSWER = "answer string, abstained boolean, abstention_reason string, citations array<string>"
+
+
+def strict_schema(**properties: dict[str, Any]) -> dict[str, Any]:
+    """A JSON schema of an object with exactly these properties."""
+    return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+
+ANSWER_SCHEMA = strict_schema(
+    answer={"type": "string"}, abstained={"type": "boolean"}, abstention_reason={"type": ["string", "null"]}, citations={"type": "array", "items": {"type": "string"}}
+)
+KEYWORDS_SCHEMA = strict_schema(keywords={"type": "array", "items": {"type": "string"}})
+SUPPORT_SCHEMA = strict_schema(supported={"type": "boolean"})
 #: Instructions; ``{domain}`` is what the collection is about.
 OPEN_RULES = "Answer the question about {domain} from general knowledge. No passages are given: cite nothing, and abstain only if no answer is possible. Return structured JSON only."
 EVIDENCE_RULES = "Answer the question about {domain} from the evidence passages only. Cite the exact chunk_id of every passage that supports the answer. If the passages don't hold the answer, abstain. Return structured JSON only."
@@ -39,8 +54,8 @@ def evidence_prompts(questions: DataFrame, ranked: DataFrame, chunks: DataFrame,
     return questions.select("question_id", "question").join(evidence, "question_id", "left").select("question_id", F.lit(EVIDENCE_RULES.format(domain=domain)).alias("instructions"), text.alias("input"))
 
 
-def select_questions(questions: DataFrame, ids: list[str] | None = None, limit: int | None = None, order: str = "question_id") -> DataFrame:
-    """An id list beats a limit; unknown ids are an error."""
+def select_questions(questions: DataFrame, ids: list[str] | None = None, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """An id list beats a limit; unknown ids are an error.  A limit takes the first by ``order``, else as the rows come."""
     if ids:
         wanted = questions.sparkSession.createDataFrame([(i,) for i in ids], "wanted string")
         key = F.col("question_id").cast("string") == F.col("wanted")
@@ -48,27 +63,74 @@ def select_questions(questions: DataFrame, ids: list[str] | None = None, limit:
         if unknown:
             raise ValueError("unknown question ids: " + ", ".join(sorted(r[0] for r in unknown)))
         return questions.join(F.broadcast(wanted), key, "left_semi")  # a list given by hand
-    return questions.orderBy(order).limit(limit) if limit is not None else questions
+    if limit is None:
+        return questions
+    if order is None:  # the place of a row in its files
+        return questions.withColumn("__place", F.monotonically_increasing_id()).orderBy("__place").limit(limit).drop("__place")
+    return questions.orderBy(order).limit(limit)
+
+
+def request(model: str, instructions: str, text: str, schema: dict[str, Any], name: str = "answer", temperature: float | None = None) -> dict[str, Any]:
+    """The arguments of a structured call: the reply must be JSON by a strict schema; no temperature is sent if there is none."""
+    reply = {"type": "json_schema", "name": name, "strict": True, "schema": schema}
+    out = {"model": model, "instructions": instructions, "input": text, "text": {"format": reply}}
+    return out if temperature is None else out | {"temperature": temperature}
+
+
+#: JSON types by their names in a schema.
+_JSON_TYPES = {"string": str, "boolean": bool, "array": list, "null": type(None), "object": dict}
+
+
+def parse_reply(text: str, schema: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The object of a reply; what isn't JSON, or not by the schema, is an error."""
+    found = json.loads(text)
+    if schema is None:
+        return found
+    if not isinstance(found, dict):
+        raise ValueError("the reply is no JSON object")
+    lost, more = set(schema["required"]) - set(found), set(found) - set(schema["properties"])
+    if lost or more:
+        raise ValueError(f"the reply lacks {sorted(lost)} and has {sorted(more)} besides")
+    for key, rule in schema["properties"].items():
+        kinds = rule["type"] if isinstance(rule["type"], list) else [rule["type"]]
+        items = rule.get("items", {}).get("type")
+        value = found[key]
+        if not any(isinstance(value, _JSON_TYPES[k]) for k in kinds) or (items and isinstance(value, list) and not all(isinstance(x, _JSON_TYPES[items]) for x in value)):
+            raise ValueError(f"the reply's {key} is not of type {' or '.join(kinds)}")
+    return found
+
+
+def require_key(variable: str) -> str:
+    """The key that a model call needs, from the environment; without one no run starts."""
+    key = os.environ.get(variable, "").strip()
+    if not key:
+        raise RuntimeError(f"{variable} is not set: a run with a model needs its key")
+    return key
 
 
 @dataclass
 class Generator:
     """A model behind a call (instructions, input, temperature) -> JSON text, with retries.
 
+    With ``schemas`` the call gets the strict request as a fourth argument and its reply is checked.
     A request that fails because of its temperature is repeated without one; other failures wait 1, 2,
     ... seconds.
     """
 
-    call: Callable[[str, str, float | None], str]
+    call: Callable[..., str]
     temperature: float = 0.0
     attempts: int = 3
     wait: Callable[[float], None] = field(default=time.sleep)
+    model: str = "none"
+    schemas: bool = False
 
-    def __call__(self, instructions: str, text: str) -> dict[str, Any]:
+    def __call__(self, instructions: str, text: str, schema: dict[str, Any] = ANSWER_SCHEMA, name: str = "answer") -> dict[str, Any]:
         temperature: float | None = self.temperature
         for attempt in range(self.attempts):
             try:
-                return json.loads(self.call(instructions, text, temperature))
+                if not self.schemas:
+                    return parse_reply(self.call(instructions, text, temperature))
+                return parse_reply(self.call(instructions, text, temperature, request(self.model, instructions, text, schema, name, temperature)), schema)
             except Exception as error:
                 if attempt + 1 == self.attempts:
                     raise
@@ -137,9 +199,9 @@ SUPPORT_RULES = "Say whether the answer is fully supported by the passages it ci
 def model_keywords(generator: Generator) -> KeywordModel:
     """The loop's three calls made by one language model."""
     return KeywordModel(
-        lambda q, tried: list(generator(KEYWORD_RULES, f"Question: {q}\nTried: {', '.join(tried)}").get("keywords") or []),
+        lambda q, tried: list(generator(KEYWORD_RULES, f"Question: {q}\nTried: {', '.join(tried)}", KEYWORDS_SCHEMA, "keywords").get("keywords") or []),
         lambda q, ids, evidence: generator(EVIDENCE_RULES.format(domain="the collection"), evidence),
-        lambda q, a: not a.get("abstained") and bool(generator(SUPPORT_RULES, f"Question: {q}\nAnswer: {a.get('answer')}\nCited: {', '.join(a.get('citations') or [])}").get("supported")),
+        lambda q, a: not a.get("abstained") and bool(generator(SUPPORT_RULES, f"Question: {q}\nAnswer: {a.get('answer')}\nCited: {', '.join(a.get('citations') or [])}", SUPPORT_SCHEMA, "support").get("supported")),
         wants_evidence=True,
     )
 
@@ -151,7 +213,7 @@ def iterate_keywords(questions: DataFrame, chunks: DataFrame, model: KeywordMode
     abstained, citations, is_supported.  Each round handles all open questions as one plan; ``written``
     fixes a round's result (model calls must not be repeated).
     """
-    keep = written or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist())
+    keep = written or (lambda df: scratch.written(df, "keywords"))  # a lost executor repeats no call
     open_rows = questions.select("question_id", "question", F.array().cast("array<string>").alias("previous"))
     trace: DataFrame | None = None
     ids = questions.schema["question_id"].dataType.simpleString()

@@ -15,6 +15,7 @@ from ..functions.columns import let
 from ..operators import chunking
 from ..operators.generation import SYSTEMS
 from ..operators.retrieval import bounded
+from ..operators.validation import REQUIRED
 from ..sources.scratch import spread, written
 
 
@@ -189,5 +190,23 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with all their columns; six systems share a question."""
+    i = F.col("question_id")
+    made = {
+        "question": F.concat(F.lit("q"), i), "gold_answer_short": F.when(i % 3 != 0, F.concat(F.lit("g"), i)), "gold_chunk_ids": F.array(chunk_id(i)), "model_answer": F.concat(F.lit("a"), i),
+        "abstention_reason": F.when(F.col("abstained"), "short"), "citations": F.array(chunk_id(i + 1)), "retrieved_chunk_ids": F.array(chunk_id(i), chunk_id(i + 1)), "manual_notes": F.lit(""),
+    }
+    return reviews(spark, sf_dir).withColumns(made).withColumn("question_id", F.floor(i / len(SYSTEMS)).cast("long"))
+
+
+def question_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): a JSON line per benchmark item, some without a key and some with a null."""
+    names = F.filter(F.array(*map(F.lit, REQUIRED)), lambda k: ~((F.col("item_id") % 5 == 0) & k.isin("notes", "qrels")) & ~((F.col("item_id") % 7 == 0) & (k == "topic")))
+    value = lambda k: F.when(k == "question_id", F.concat(F.lit('"q'), F.col("item_id"), F.lit('"'))).when(k == "answerable", F.when(F.col("item_id") % 3 == 0, '"yes"').when(F.col("item_id") % 4 == 0, "null").otherwise("true")).otherwise("null")
+    parts = F.transform(names, lambda k: F.concat(F.lit('"'), k, F.lit('": '), value(k)))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}")).alias("value"))
+
+
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..functions.text import EXPANSIONS, METADATA_PREFIXES, STOPWORDS
 from ..operators.generation import SYSTEMS
+from ..operators.retrieval import SYSTEM_RETRIEVERS
+from ..operators.validation import REQUIRED
 
 Q = "'"
 
@@ -372,6 +374,35 @@ PROMPTS = f"""WITH {CHUNKS}, {ASKED}, {ranked(5)}, made AS (
 ) SELECT question_id, length(input) AS n_chars, md5(input) AS digest FROM made"""
 
 
+_REQUIRED = "[" + _list(REQUIRED) + "]"
+_LOST = f"list_sort(list_filter({_REQUIRED}, lambda k: (item_id % 5 = 0 AND k IN ('notes', 'qrels')) OR (item_id % 7 = 0 AND k = 'topic')))"
+FULL_REVIEWS = f"""{REVIEWS}, full_revs AS (
+  SELECT question_id // 6 AS question_id, question_id AS i, system, answerable, abstained, manual_correct, manual_citation_supported, manual_hallucinated, review_abstention_correct, severity,
+    'q' || question_id AS question, CASE WHEN question_id % 3 <> 0 THEN 'g' || question_id END AS gold_answer_short, 'a' || question_id AS model_answer, CASE WHEN abstained THEN 'short' END AS reason
+  FROM revs
+)"""
+
+
+def _more_sql() -> dict[str, str]:
+    copied = ", counted AS (SELECT r.*, c.question_id AS id, c.row, c.question AS shown FROM records r JOIN copies c ON c.of = r.question_id)"
+    review = ["question", "answerable::VARCHAR", "gold_answer_short", chunk_id("i"), "model_answer", "abstained::VARCHAR", "reason", chunk_id("i + 1"), f"{chunk_id('i')} || ',' || {chunk_id('i + 1')}"]
+    review += [f"{c}::VARCHAR" for c in ("manual_correct", "manual_citation_supported", "manual_hallucinated", "review_abstention_correct")] + ["severity", "''"]
+    searches = ", ".join(f"({_q(s)}, {_q(r) if r else 'NULL'})" for s, r in SYSTEM_RETRIEVERS.items())
+    return {
+        "missing_fields": f"SELECT 'q' || item_id AS question_id, 'error' AS severity, 'missing_fields' AS rule, 'missing required fields: ' || array_to_string({_LOST}, ', ') AS message FROM benchmark WHERE len({_LOST}) > 0",
+        "not_boolean": "SELECT 'q' || item_id AS question_id, 'error' AS severity, 'not_boolean' AS rule, 'answerable must be a boolean' AS message FROM benchmark WHERE item_id % 3 = 0 OR item_id % 4 = 0",
+        "gates": "SELECT * FROM (VALUES ('benchmark with errors', true), ('benchmark with warnings', false), ('missing labels', true), ('no reviews', true)) t(input, refused)",
+        "open_prompts": f"WITH {ASKED} SELECT question_id, md5({_PROMPT_HEAD}) AS digest FROM asked",
+        "retriever_descriptions": f"WITH {CHUNKS} SELECT 'bm25' AS name, n, 1.2::DOUBLE AS k1, 0.65::DOUBLE AS b, round(average_length, 6) AS average, expanded FROM stats CROSS JOIN (VALUES (false), (true)) t(expanded)",
+        "system_searches": f"SELECT * FROM (VALUES {searches}) t(system, search)",
+        "embedding_cache": "SELECT vec_id AS position, vec_id::VARCHAR AS chunk_id, len(embedding)::INT AS size, round(list_sum(embedding::DOUBLE[]), 4) AS total, true AS others_refused FROM embeddings",
+        "dashboard_questions": f"{RECORDS}{copied} SELECT id AS question_id, md5(shown) AS question, answerable, topic, difficulty, question_type, md5(gold_answer) AS gold_answer_short, array_to_string(list_sort(gold_chunks), ',') AS gold_chunk_ids, array_to_string(list_sort(gold_docs::VARCHAR[]), ',') AS gold_doc_ids, rationale AS negative_rationale FROM counted",
+        "dashboard_reviews": f"WITH {FULL_REVIEWS} SELECT question_id, system, md5(concat_ws('|', {', '.join(review)})) AS digest FROM full_revs",
+        "dashboard_bundle": f"WITH {FULL_REVIEWS} SELECT question_id, string_agg(system || '=' || model_answer, ',' ORDER BY system || '=' || model_answer) AS answers FROM full_revs GROUP BY 1",
+        "question_detail": f"{RECORDS}, {FULL_REVIEWS}, one AS (SELECT * FROM records WHERE question_id > 0 ORDER BY difficulty <> 'hard', question_id LIMIT 1) SELECT o.question_id, md5(o.question) AS question_md5, o.answerable, md5(CASE WHEN o.answerable THEN gold_answer ELSE rationale END) AS gold_md5, r.system, list_position({SYSTEM}, r.system)::INT AS position, r.manual_correct FROM one o LEFT JOIN full_revs r USING (question_id)",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     scored_columns = ", ".join(f"round({m}_{k}, 6) AS {m}_{k}" for k in KS for m in ("recall", "doc_recall", "ndcg", "near_miss_doc"))
     probe = "CASE WHEN item_id % 3 = 0 THEN text || ' Leave of Absence — discipline' ELSE text END"
@@ -385,7 +416,7 @@ def oracle_sql() -> dict[str, str]:
     percent = lambda x: f"printf('%.1f%%', round({x} * 100, 1))"
     text = r"chr(160) || ' – a' || chr(9) || ' b' || repeat(chr(10), 3) || text"
     tidy = rf"list_transform(string_split(translate({text}, chr(160) || '–—', ' --'), chr(10)), lambda l: {strip(rf'''regexp_replace(l, '[ \t]+', ' ', 'g')''')})"
-    return {
+    return _more_sql() | {
         "tokenize_counts": f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct, array_to_string(list_slice(t, 1, 5), ' ') AS head FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
         "tokenize_no_stop": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {tokens('text', False)} AS t FROM documents)",
         "expand_queries": f"SELECT item_id, {expanded('p')} AS expanded FROM (SELECT item_id, {probe} AS p FROM benchmark)",

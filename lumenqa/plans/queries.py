@@ -11,7 +11,7 @@ from ..functions import cleaning
 from ..functions import text as tx
 from ..operators import chunking, evaluation, generation, metrics, retrieval, validation
 from ..sources import files
-from ..sources.scratch import written
+from ..sources.scratch import scratch_path, written
 from . import bindings as bind
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,3 +356,97 @@ def shown_answers(spark, sf):
     made = bind.generations(spark, sf)
     text = evaluation.shown_answer(F.when(~F.col("abstained"), F.col("answer")), F.when(F.col("system") != "non_rag", F.lit("abstained")))
     return made.select("question_id", F.md5(text).alias("shown_md5"))
+
+
+@query
+def missing_fields(spark, sf):
+    return validation.missing_fields(bind.question_lines(spark, sf))
+
+
+@query
+def not_boolean(spark, sf):
+    return validation.not_boolean(bind.question_lines(spark, sf))
+
+
+def _refused(check: Callable[[], object]) -> bool:
+    try:
+        check()
+    except ValueError:
+        return True
+    return False
+
+
+@query
+def gates(spark, sf):
+    """Which inputs stop a run: a benchmark with errors, labels that are missing, no reviews."""
+    found, reviews = validation.validate(bind.benchmark_records(spark, sf), bind.chunks(spark, sf)), bind.reviews(spark, sf)
+    rows = [
+        ("benchmark with errors", _refused(lambda: validation.gate(found))), ("benchmark with warnings", _refused(lambda: validation.gate(found.filter("severity = 'warning'")))),
+        ("missing labels", _refused(lambda: validation.label_gate(reviews))), ("no reviews", _refused(lambda: evaluation.reviewed_metrics(reviews.limit(0)))),
+    ]
+    return spark.createDataFrame(rows, "input string, refused boolean")
+
+
+@query
+def open_prompts(spark, sf):
+    _, text = generation.open_prompt()
+    return _asked(spark, sf).select("question_id", F.md5(text).alias("digest"))
+
+
+@query
+def retriever_descriptions(spark, sf):
+    """The search with and without expansion as it describes itself."""
+    chunks = bind.chunks(spark, sf)
+    rows = [retrieval.build_retriever("bm25", chunks, expand=x).describe() for x in (False, True)]
+    made = [(r["name"], r["num_chunks"], r["k1"], r["b"], r["avg_indexed_doc_len"], r["query_expansion"]) for r in rows]
+    return spark.createDataFrame(made, "name string, n long, k1 double, b double, average double, expanded boolean").withColumn("average", F.round("average", 6))
+
+
+@query
+def system_searches(spark, sf):
+    """The search of each generation system."""
+    chunks = bind.chunks(spark, sf)
+    found = [(system, retrieval.system_retriever(system, chunks)) for system in generation.SYSTEMS]
+    return spark.createDataFrame([(system, search.name if search else None) for system, search in found], "system string, search string")
+
+
+@query
+def embedding_cache(spark, sf):
+    """Vectors as they come back from the cache; a cache of other chunks isn't used."""
+    rows = bind.unit_vectors(spark, sf).select(F.col("vec_id").alias("position"), F.col("vec_id").cast("string").alias("chunk_id"), "vector")
+    path = scratch_path(spark, "vectors")
+    files.cache_embeddings(rows, path, "m", "s")
+    got = files.cached_embeddings(spark, path, rows, "m", "s")
+    other = files.cached_embeddings(spark, path, rows.filter("position > 0"), "m", "s") or files.cached_embeddings(spark, path, rows, "other", "s")
+    return got.select("position", "chunk_id", F.size("vector").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.lit(other is None).alias("others_refused"))
+
+
+@query
+def dashboard_questions(spark, sf):
+    rows = evaluation.compact_questions(bind.benchmark_records(spark, sf))
+    ids = {c: F.array_join(F.array_sort(F.col(c).cast("array<string>")), ",") for c in ("gold_chunk_ids", "gold_doc_ids")}
+    return rows.withColumns({**ids, "question": F.md5("question"), "gold_answer_short": F.md5("gold_answer_short")})
+
+
+@query
+def dashboard_reviews(spark, sf):
+    rows = evaluation.compact_reviews(bind.full_reviews(spark, sf))
+    shown = F.concat_ws("|", *[F.array_join(c, ",") if c in ("gold_chunk_ids", "citations", "retrieved_chunk_ids") else F.col(c).cast("string") for c in evaluation.REVIEW_COLUMNS[2:]])
+    return rows.select("question_id", "system", F.md5(shown).alias("digest"))
+
+
+@query
+def dashboard_bundle(spark, sf):
+    reviews = bind.full_reviews(spark, sf)
+    rows = evaluation.bundle(reviews.select("question_id").distinct(), reviews)
+    answers = F.transform(F.map_entries("reviews"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["model_answer"]))
+    return rows.select("question_id", F.array_join(F.array_sort(answers), ",").alias("answers"))
+
+
+@query
+def question_detail(spark, sf):
+    """The first question that a filter shows, with its reviews by system."""
+    asked = bind.benchmark_records(spark, sf).filter("row = question_id and row > 0")
+    shown = evaluation.explore(asked, bind.reviews(spark, sf), difficulty="hard")
+    rows = evaluation.question_detail(asked, bind.full_reviews(spark, sf), shown)
+    return rows.select("question_id", F.md5("question").alias("question_md5"), "answerable", F.md5("gold").alias("gold_md5"), "system", "position", "manual_correct")

@@ -6,12 +6,14 @@ tables as folders of JSON lines.  Only reports are gathered on the driver.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cleaning
 from ..operators import chunking, evaluation, generation, metrics, retrieval, validation
 from ..sources import files
 
@@ -30,7 +32,7 @@ GENERATIONS = (
     "retrieved_chunks array<struct<rank:int,chunk_id:string,doc_id:string,section:string,score:double,title:string,chunk_index:int,text_preview:string>>, model string, temperature double, dry_run boolean"
 )
 REVIEWS = (
-    "question_id string, system string, question string, answerable boolean, gold_answer_short string, gold_chunk_ids array<string>, model_answer string, abstained boolean, citations array<string>, "
+    "question_id string, system string, question string, answerable boolean, gold_answer_short string, gold_chunk_ids array<string>, model_answer string, abstained boolean, abstention_reason string, citations array<string>, retrieved_chunk_ids array<string>, "
     "manual_correct boolean, manual_citation_supported boolean, manual_hallucinated boolean, review_abstention_correct boolean, review_hallucination_severity string, manual_notes string"
 )
 #: Names of the summary's parts in a report.
@@ -45,10 +47,10 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return files.read_jsonl(spark, path, QUESTIONS)
 
 
-def ingest(spark: SparkSession, registry: str, raw_dir: str, processed_dir: str, refresh: bool = False, fetch: Callable[[str], bytes] = files.download) -> DataFrame:
+def ingest(spark: SparkSession, registry: str, raw_dir: str, processed_dir: str, refresh: bool = False, fetch: Callable[[str], bytes] = files.download, furniture: cleaning.Furniture = cleaning.FURNITURE) -> DataFrame:
     """Freezes the included sources and writes snapshot_manifest.jsonl and documents.jsonl."""
     manifest = files.freeze_sources(spark, files.load_sources(spark, files.parse_registry(registry)), raw_dir, refresh, fetch)
-    documents = files.build_documents(manifest)
+    documents = files.build_documents(manifest, furniture)
     files.write_jsonl(manifest, f"{processed_dir}/snapshot_manifest.jsonl")
     files.write_jsonl(documents, f"{processed_dir}/documents.jsonl")
     return documents
@@ -212,3 +214,21 @@ def evaluate_reviews(spark: SparkSession, combined_output: str, templates: list[
         combined[own["system"]] = own
     files.write_json(combined, combined_output, ascii_only=True)
     return combined
+
+
+def dashboard(spark: SparkSession, questions: str, metrics_path: str, output: str, templates: list[str] | None = None, results_dir: str = "data/results") -> dict[str, Any]:
+    """One JSON document for the explorer: questions, metrics by system, reviews by system.
+
+    A benchmark's questions and their reviews are small; the tables behind it are
+    :func:`evaluation.compact_questions`, :func:`evaluation.compact_reviews` and :func:`evaluation.bundle`.
+    """
+    rows: dict[str, list[dict[str, Any]]] = {system: [] for system in generation.SYSTEMS}
+    for path in templates or files.review_files(results_dir):
+        for r in evaluation.compact_reviews(files.read_jsonl(spark, path, REVIEWS)).collect():
+            rows.setdefault(r["system"], []).append(r.asDict(recursive=True))
+    asked = [r.asDict(recursive=True) for r in evaluation.compact_questions(read_questions(spark, questions)).collect()]
+    with open(metrics_path, encoding="utf-8") as f:
+        known = json.load(f)
+    payload = {"generated_at": "reviewed-results-snapshot", "questions": asked, "metrics": known, "reviews": rows}
+    files.write_json(payload, output)
+    return payload

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning
 
-SOURCE_FIELDS = "doc_id title source_type source_url include metadata_url topic reason".split()
+# The fields of a registered source.
+SOURCE_FIELDS = ("doc_id", "title", "source_type", "source_url", "include", "metadata_url", "topic", "reason")
 SOURCES = "doc_id string, title string, source_type string, source_url string, include boolean, metadata_url string, topic string, reason string, extra map<string,string>"
 
 
@@ -84,8 +85,10 @@ def keep_fetched_at(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(known, "doc_id", "left").withColumn("fetched_at", F.coalesce("__before", utc_stamp())).drop("__before")
 
 
+# Elements whose text is kept, those passed over, and those without content.
 KEPT_TAGS = ("h1", "h2", "h3", "h4", "p", "li", "td", "th")
 DROPPED_TAGS = ("script", "style", "noscript", "svg", "form", "nav", "header", "footer", "aside")
+EMPTY_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 
 class _Page(HTMLParser):
@@ -95,23 +98,44 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root: tuple[str, list] = ("", [])
         self.open = [self.root]
+        self.count: dict[str, int] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = (tag, [])
         self.open[-1][1].append(node)
-        if tag not in ("br", "img", "hr", "meta", "link", "input", "wbr", "source", "area", "base", "col", "embed", "track", "param"):
+        if tag not in EMPTY_TAGS:
             self.open.append(node)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        while self.count.get(tag):
+            last = self.open.pop()[0]
+            self.count[last] -= 1
+            if last == tag:
                 return
 
     def handle_data(self, data: str) -> None:
         self.open[-1][1].append(data)
 
 
+def _walk(node: tuple[str, list]) -> Iterator[Any]:
+    """What is inside a node, in order, but for dropped elements: nodes and strings.  Pages may nest deeply, so nothing recurses."""
+    waiting = [iter(node[1])]
+    while waiting:
+        child = next(waiting[-1], None)
+        if child is None:
+            waiting.pop()
+        elif isinstance(child, str):
+            yield child
+        elif child[0] not in DROPPED_TAGS:
+            yield child
+            waiting.append(iter(child[1]))
+
+
+def _strings(node: tuple[str, list]) -> Iterator[str]:
+    return filter(None, (x.strip() for x in _walk(node) if isinstance(x, str)))
+
+
 def page_text(page: str) -> str:
     """Headings, paragraphs, list items and cells of the main element, in document order.
 
@@ -120,26 +144,13 @@ def page_text(page: str) -> str:
     parser = _Page()
     parser.feed(page)
     parser.close()
-
-    def nodes(node: tuple[str, list]) -> Iterator[tuple[str, list]]:
-        for child in node[1]:
-            if not isinstance(child, str) and child[0] not in DROPPED_TAGS:
-                yield child
-                yield from nodes(child)
-
-    def strings(node: tuple[str, list]) -> Iterator[str]:
-        for child in node[1]:
-            if isinstance(child, str):
-                yield child.strip()
-            elif child[0] not in DROPPED_TAGS:
-                yield from strings(child)
-
-    root = next((n for tag in ("main", "article", "body") for n in nodes(parser.root) if n[0] == tag), parser.root)
+    elements = [n for n in _walk(parser.root) if not isinstance(n, str)]
+    root = next((n for tag in ("main", "article", "body") for n in elements if n[0] == tag), parser.root)
     out = []
-    for node in nodes(root):
-        if node[0] in KEPT_TAGS and (text := " ".join(filter(None, strings(node)))):
+    for node in _walk(root):
+        if not isinstance(node, str) and node[0] in KEPT_TAGS and (text := " ".join(_strings(node))):
             out.append(f"\n{text}\n" if node[0][0] == "h" else f"- {text}" if node[0] == "li" else text)
-    return "\n".join(out or filter(None, strings(root)))
+    return "\n".join(out or _strings(root))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -154,7 +165,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return raw.select("page_id", cleaning.clean_html_text(F.col("raw")).alias("text"))
 
 
-def extract_pdf(files: DataFrame) -> DataFrame:
+def extract_pdf(files: DataFrame, furniture: cleaning.Furniture = cleaning.FURNITURE) -> DataFrame:
     """(snapshot_path, text) of paged documents; needs the optional PDF package on the executors."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +181,7 @@ def extract_pdf(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"snapshot_path": f["snapshot_path"], "raw": texts})
 
     raw = files.select("snapshot_path", "content").mapInPandas(run, "snapshot_path string, raw string")
-    return raw.select("snapshot_path", cleaning.clean_pdf_text(F.col("raw")).alias("text"))
+    return raw.select("snapshot_path", cleaning.clean_pdf_text(F.col("raw"), furniture).alias("text"))
 
 
 MANIFEST = "doc_id string, title string, source_type string, source_url string, snapshot_path string, sha256 string, fetched_at string, metadata_url string, topic string, reason string, extra map<string,string>"
@@ -207,7 +218,7 @@ def freeze_sources(spark: SparkSession, sources: DataFrame, raw_dir: str, refres
     return spark.createDataFrame(rows, MANIFEST)
 
 
-def build_documents(manifest: DataFrame) -> DataFrame:
+def build_documents(manifest: DataFrame, furniture: cleaning.Furniture = cleaning.FURNITURE) -> DataFrame:
     """The manifest with the ``text`` of each snapshot, extracted by its type."""
     spark = manifest.sparkSession
     paths = [r[0] for r in manifest.select("snapshot_path").collect()]  # one per registered source
@@ -219,7 +230,7 @@ def build_documents(manifest: DataFrame) -> DataFrame:
     html = found.filter("source_type = 'html'").withColumn("html", F.decode("content", "UTF-8"))
     texts = extract_pages(html, "snapshot_path").withColumnRenamed("page_id", "snapshot_path")
     if not manifest.filter("source_type = 'pdf'").isEmpty():
-        texts = texts.unionByName(extract_pdf(found.filter("source_type = 'pdf'")))
+        texts = texts.unionByName(extract_pdf(found.filter("source_type = 'pdf'"), furniture))
     return manifest.join(texts, "snapshot_path").select(*manifest.columns, "text")
 
 

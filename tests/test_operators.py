@@ -163,3 +163,123 @@ def test_page_text():
     page = "<body><nav>no</nav><main><h1>T <b>x</b></h1><p>a</p><ul><li>b<p>c</p></li></ul><script>z</script></main><p>out</p>"
     assert files.page_text(page) == "\nT x\n\na\n- b c\nc"
     assert files.page_text("<div>only <i>text</i></div>") == "only\ntext"
+
+
+def test_page_text_of_deep_pages():
+    n = 20_000
+    assert files.page_text("<div>" * n + "<p>a</p>" + "</div>" * n) == "a"
+    assert files.page_text("<div>x" * n).count("x") == n
+    assert files.page_text("<li>a" * 300).count("- ") == 300
+    assert files.page_text("<main><p>a</b></div>b</p></main>") == "a b"
+
+
+def test_page_furniture(spark):
+    own = cleaning.FURNITURE.of("Example", "example.org")
+    text = "\n".join([
+        "Example Policy Library", "Example University Policy 7.1, Part", "University Policy Office www.policy.example.org", "First line here. Example University Policy Office  policy.example.org",
+        "Voluntary Leave of Absence for Students", "Library Volume: 4", "policy.example.org and more.", "POLICY 4.7", "Policy 7.2 Last Updated: today", "Last updated: now", "Kept to the end.",
+    ])
+    assert apply(spark, lambda c: cleaning.clean_pdf_text(c, own), text) == ["First line here.\nand more.\nKept to the end."]
+    plain = apply(spark, cleaning.clean_pdf_text, text)[0]
+    assert "Example Policy Library" in plain and "Voluntary Leave" not in plain and "POLICY 4.7" not in plain
+    cut = f"Before. {cleaning.CUT_SENTENCES[0]} After."
+    assert apply(spark, cleaning.clean_pdf_text, cut) == ["Before.  After."]
+
+
+def test_wrapped_lines_by_brute_force(spark):
+    """Against a loop over lines, with titles that a join makes or unmakes."""
+    import random
+    import re
+
+    def title(line):
+        letters = [c for c in line if c.isalpha()]
+        named = re.match(r"(?i)(article|section|part)\s+\w+", line) or re.match(r"[IVXLCDM]+\.\s+.+", line)
+        return len(line) <= 120 and bool(named or (letters and sum(map(str.isupper, letters)) / len(letters) > 0.75))
+
+    def brute(lines):
+        out = []
+        for line in lines:
+            last = out[-1] if out else ""
+            apart = not last or not line or last.startswith("[Page ") or line.startswith("[Page ") or title(last) or title(line)
+            if apart or re.match(r"(\d+\.|[a-zA-Z]\.|[ivxlcdmIVXLCDM]+\.)\s+", line) or re.search(r"[.?!:;)]$", last):
+                out.append(line)
+            else:
+                out[-1] = f"{last} {line}"
+        return out
+
+    rng = random.Random(3)
+    pool = ["", "words that go on", "and end here.", "TITLE LINE", "Part two", "[Page 3]", "1. item", "x", "AB c", "A BIG SHOUT and then quite small words", "iv. item (so)", "long " * 30 + "line"]
+    rows = [(i, rng.choices(pool, k=rng.randint(1, 14))) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, v array<string>")
+    got = {r["i"]: r["x"] for r in df.select("i", cleaning.merge_wrapped(F.col("v")).alias("x")).collect()}
+    assert all(got[i] == brute(v) for i, v in rows)
+
+
+def test_long_documents_take_time_in_proportion(spark):
+    import time
+
+    text = "\n".join(f"line {i} of words that go on" + (".\n" if i % 7 == 0 else "") for i in range(20_000))
+    start = time.perf_counter()
+    assert len(chunk(spark, text)) > 300
+    assert len(apply(spark, cleaning.clean_pdf_text, text)[0]) > 400_000
+    assert len(apply(spark, tx.tokens, "a-" * 50_000 + " " + "1.2." * 30_000)[0]) == 2
+    assert time.perf_counter() - start < 60
+
+
+def test_rows_that_share_an_id_are_cut_one_by_one(spark):
+    df = spark.createDataFrame([(1, "one\n\ntwo\n\nthree"), (1, "uno\n\ndos\n\ntres"), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted((r["block_index"], r["block"]) for r in chunking.section_blocks(df).collect())
+    assert got == [(0, "one"), (0, "uno"), (1, "dos"), (1, "two"), (2, "three"), (2, "tres")]
+
+
+def test_strict_requests_and_replies(monkeypatch):
+    seen = []
+
+    def call(instructions, text, temperature, request):
+        seen.append(request)
+        return '{"answer": "x", "abstained": false, "abstention_reason": null, "citations": ["a"]}'
+
+    made = generation.Generator(call, 0.5, model="m", schemas=True)("do", "this")
+    assert made["citations"] == ["a"] and seen[0]["temperature"] == 0.5 and seen[0]["model"] == "m"
+    form = seen[0]["text"]["format"]
+    assert form["strict"] and form["type"] == "json_schema" and form["schema"]["additionalProperties"] is False and set(form["schema"]["required"]) == set(made)
+    assert "temperature" not in generation.request("m", "i", "t", generation.ANSWER_SCHEMA)
+    for bad in ('{"answer": "x"}', '{"answer": 1, "abstained": false, "abstention_reason": null, "citations": []}', '{"answer": "", "abstained": false, "abstention_reason": null, "citations": [1]}', "[]"):
+        with pytest.raises(ValueError):
+            generation.parse_reply(bad, generation.ANSWER_SCHEMA)
+    monkeypatch.delenv("SOME_MODEL_KEY", raising=False)
+    with pytest.raises(RuntimeError, match="SOME_MODEL_KEY"):
+        generation.require_key("SOME_MODEL_KEY")
+    monkeypatch.setenv("SOME_MODEL_KEY", "k")
+    assert generation.require_key("SOME_MODEL_KEY") == "k"
+
+
+def test_limit_takes_rows_as_they_come(spark):
+    rows = spark.createDataFrame([("c",), ("a",), ("b",)], "question_id string").coalesce(1)
+    assert [r[0] for r in generation.select_questions(rows, limit=2).collect()] == ["c", "a"]
+    assert [r[0] for r in generation.select_questions(rows, limit=2, order="question_id").collect()] == ["a", "b"]
+
+
+def test_last_grade_and_last_chunk_count(spark):
+    qrels = spark.createDataFrame([(1, "a", 1, 3, 0), (1, "a", 1, 1, 1)], "question_id long, chunk_id string, doc_id long, relevance int, pos int")
+    assert metrics.last_grades(qrels).first()["relevance"] == 1
+    asked = spark.createDataFrame([("q", ["d"], ["c"], [("c", "d", "new")], [("c", "d", 9), ("z", "d", 9), ("c", "e", 3)])], "question_id string, gold_doc_ids array<string>, gold_chunk_ids array<string>, evidence array<struct<chunk_id:string,doc_id:string,quote:string>>, qrels array<struct<chunk_id:string,doc_id:string,relevance:int>>")
+    chunks = spark.createDataFrame([("c", "d", "old text"), ("c", "d", "new text")], "chunk_id string, doc_id string, text string").coalesce(1)
+    got = sorted((r["rule"], r["message"]) for r in validation.reference_rules(asked, chunks).collect())
+    assert got == [("bad_grade", "qrels[0]: relevance must be one of [0, 1, 2, 3]"), ("other_doc", "qrels[2]: doc_id e does not match chunk c"), ("unknown_chunk", "qrels[1]: unknown chunk_id z")]
+
+
+def test_dense_search_skips_what_has_no_score(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 1.0]), (5, [1.0, 0.0, 0.0])], "vec_id long, vector array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (7, [0.0, 1.0])], "query_id long, vector array<double>")
+    got = sorted((r["query_id"], r["vec_id"], r["score"]) for r in retrieval.dense_search(asked.limit(1), vectors, 3).collect())
+    assert got == [(7, 1, 1.0), (7, 4, 0.0)]
+    assert retrieval.dense_search(asked.limit(0), vectors, 3).count() == 0
+
+
+def test_question_detail(spark):
+    asked = spark.createDataFrame([("a", "A?", True, "yes", None), ("b", "B?", False, None, "why")], "question_id string, question string, answerable boolean, gold_answer_short string, negative_rationale string")
+    reviews = spark.createDataFrame([("b", "dense_rag", True), ("b", "non_rag", False), ("b", "unknown", False)], "question_id string, system string, manual_correct boolean")
+    pick = lambda **options: sorted((r["question_id"], r["gold"], r["system"], r["position"]) for r in evaluation.question_detail(asked, reviews, **options).collect())
+    assert pick(selected="b") == pick(shown=asked.filter("not answerable")) == [("b", "why", "dense_rag", 3), ("b", "why", "non_rag", 1)]
+    assert pick() == pick(selected="zzz", shown=asked.limit(0)) == [("a", "yes", None, None)]

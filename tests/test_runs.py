@@ -82,10 +82,11 @@ def test_faults_are_found(spark, corpus, capsys):
     rows = [json.loads(x) for x in (corpus / "questions.jsonl").read_text().split("\n") if x]
     short = {k: v for k, v in rows[0].items() if k != "notes"} | {"question_id": "q3", "question": "When, may students appeal"}
     bad = corpus / "bad.jsonl"
-    bad.write_text("\n".join(map(json.dumps, [*rows, short, rows[1] | {"near_miss_doc_ids": []}])), encoding="utf-8")
+    bad.write_text("\n".join(map(json.dumps, [*rows, short, rows[1] | {"near_miss_doc_ids": []}, rows[0] | {"question_id": "q4", "answerable": "yes"}])), encoding="utf-8")
     assert cli.main(["validate", str(bad), "--chunks", f"{corpus}/chunks.jsonl"], spark) == 1
     out = capsys.readouterr().out
     assert "q3: missing required fields: notes" in out and "q1 and q3" in out and "duplicate question_id" in out and "no near_miss_doc_ids" in out
+    assert "q4: answerable must be a boolean" in out and "q3: answerable" not in out
     assert cli.main(["validate", f"{corpus}/questions.jsonl", "--chunks", f"{corpus}/chunks.jsonl"], spark) == 0
 
 
@@ -120,6 +121,11 @@ def test_reviews(spark, tmp_path):
     got = json.loads((tmp_path / "all.json").read_text())
     assert got["bm25_rag"]["reviewed_correct_rate"] == 1.0 and [r["question_id"] for r in got["dense_rag"]["flagged_rows"]] == ["q1"]
     assert json.loads((tmp_path / "generations_dense_rag_reviewed_eval.json").read_text()) == got["dense_rag"]
+    (tmp_path / "questions.jsonl").write_text(json.dumps(question("q1", "One?", True, gold_answer_short="x")))
+    assert cli.main(["dashboard", f"{tmp_path}/questions.jsonl", "--metrics", f"{tmp_path}/all.json", "--results-dir", str(tmp_path), "--output", f"{tmp_path}/board.json"], spark) == 0
+    board = json.loads((tmp_path / "board.json").read_text())
+    assert set(board) == {"generated_at", "questions", "metrics", "reviews"} and len(board["reviews"]) == 6 and board["reviews"]["dense_rag"][0]["manual_correct"] is False
+    assert board["questions"][0]["gold_answer_short"] == "x" and board["metrics"] == got
     with pytest.raises(ValueError):
         runs.evaluate_reviews(spark, f"{tmp_path}/none.json", results_dir=f"{tmp_path}/none")
 
