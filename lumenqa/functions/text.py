@@ -132,3 +132,8 @@ def percent(value: Column) -> Column:
 
 def title_case(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def date_stamp(value: Column) -> Column:
+    """A moment as readers of American English write it, in the session's time zone; other text as it is."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(value), "M/d/yyyy, h:mm:ss a"), value)

@@ -37,9 +37,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents cut into passages, as chunks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("topic"), F.posexplode(chunking.passages_of(F.col("text"))).alias("chunk_index", "p"))
-    own = F.concat(F.col("doc_id").cast("string"), F.lit("__"), F.format_string("%04d", "chunk_index"))
-    return docs.select("doc_id", own.alias("chunk_id"), "chunk_index", "title", "topic", "p.section", "p.text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("topic"))
+    return chunking.chunk_documents(docs, fields=("title", "topic"))
 
 
 @dataclass

@@ -88,8 +88,8 @@ PASSAGE_CHUNKS = """chunks AS (
 ASKED = "asked AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
 
 
-def ranked(k: int, name: str = "ranked", expand: bool = False) -> str:
-    return f"""{name}_terms AS (SELECT question_id, unnest(list_distinct({tokens(expanded('question') if expand else 'question')})) AS term FROM asked),
+def ranked(k: int, name: str = "ranked", expand: bool = False, asked: str = "asked") -> str:
+    return f"""{name}_terms AS (SELECT question_id, unnest(list_distinct({tokens(expanded('question') if expand else 'question')})) AS term FROM {asked}),
 {name}_scores AS (
   SELECT question_id, chunk_id, doc_id, chunk_index, count_if(named) AS matches,
     round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.35 + 0.65 * length / average_length))), 9) AS score
@@ -376,6 +376,31 @@ PROMPTS = f"""WITH {CHUNKS}, {ASKED}, {ranked(5)}, made AS (
 
 _REQUIRED = "[" + _list(REQUIRED) + "]"
 _LOST = f"list_sort(list_filter({_REQUIRED}, lambda k: (item_id % 5 = 0 AND k IN ('notes', 'qrels')) OR (item_id % 7 = 0 AND k = 'topic')))"
+def _cleaned(x: str) -> str:
+    """Keywords squeezed, without empty ones and repeats but for case."""
+    squeezed = f"list_filter(list_transform({x}, lambda k: {strip(r"regexp_replace(k, '\s+', ' ', 'g')")}), lambda k: k <> '')"
+    return f"(SELECT list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i) FROM (SELECT {squeezed} AS k))"
+
+
+def _round(number: int, before: str, previous: str) -> str:
+    """One round of the keyword loop around the stub model of the query."""
+    name, words_ = f"round{number}", r"list_filter(string_split_regex(question, '\s+'), lambda w: w <> '')"
+    return f"""{name}_asked AS (
+  SELECT question_id, asked_question, keywords, {strip("concat_ws(' ', asked_question, array_to_string(keywords, ' '))")} AS question
+  FROM (SELECT question_id, question AS asked_question, {_cleaned(f"list_concat({previous}, {words_}[1 : len({previous}) + 2])")} AS keywords FROM {before})
+), {ranked(5, name, asked=f"{name}_asked")}, {name}_found AS (
+  SELECT a.*, coalesce(f.ids, []) AS ids, len(coalesce(f.ids, [])) > 0 AND length(asked_question) % 3 = 0 AS is_supported
+  FROM {name}_asked a LEFT JOIN (SELECT question_id, list(chunk_id ORDER BY rank) AS ids FROM {name} GROUP BY 1) f USING (question_id)
+), {name}_open AS (SELECT question_id, asked_question AS question, keywords FROM {name}_found WHERE NOT is_supported)"""
+
+
+def _trace(number: int) -> str:
+    return (
+        f"SELECT question_id, {number} AS iteration, array_to_string(keywords, '|') AS keywords, md5(question) AS query_md5, array_to_string(ids, ',') AS retrieved, array_to_string(ids[1:1], ' ') AS answer, "
+        f"len(ids) = 0 AS abstained, array_to_string(ids[1:2], ',') AS citations, is_supported FROM round{number}_found"
+    )
+
+
 FULL_REVIEWS = f"""{REVIEWS}, full_revs AS (
   SELECT question_id // 6 AS question_id, question_id AS i, system, answerable, abstained, manual_correct, manual_citation_supported, manual_hallucinated, review_abstention_correct, severity,
     'q' || question_id AS question, CASE WHEN question_id % 3 <> 0 THEN 'g' || question_id END AS gold_answer_short, 'a' || question_id AS model_answer, CASE WHEN abstained THEN 'short' END AS reason
@@ -388,7 +413,15 @@ def _more_sql() -> dict[str, str]:
     review = ["question", "answerable::VARCHAR", "gold_answer_short", chunk_id("i"), "model_answer", "abstained::VARCHAR", "reason", chunk_id("i + 1"), f"{chunk_id('i')} || ',' || {chunk_id('i + 1')}"]
     review += [f"{c}::VARCHAR" for c in ("manual_correct", "manual_citation_supported", "manual_hallucinated", "review_abstention_correct")] + ["severity", "''"]
     searches = ", ".join(f"({_q(s)}, {_q(r) if r else 'NULL'})" for s, r in SYSTEM_RETRIEVERS.items())
+    shown = "array_to_string([rank::VARCHAR, chunk_id, doc_id::VARCHAR, relevance::VARCHAR, is_gold_doc::VARCHAR, is_near_miss_doc::VARCHAR], ' ')"
+    own = "(is_supported OR abstained)"
     return {
+        "predictions": EVALUATED + f" SELECT q.question_id, answerable, topic, question_type, difficulty, r.retrieved FROM questions q LEFT JOIN (SELECT question_id, string_agg({shown}, ', ' ORDER BY rank) AS retrieved FROM judged GROUP BY 1) r USING (question_id)",
+        "iterkey_trace": f"WITH {CHUNKS}, {ASKED}, {_round(1, 'asked', '[]::VARCHAR[]')}, {_round(2, 'round1_open', 'keywords')}, trace AS ({_trace(1)} UNION ALL {_trace(2)}), "
+        f"last AS (SELECT question_id, CASE WHEN {own} THEN answer ELSE '' END AS final_answer, CASE WHEN {own} THEN '' ELSE 'No support was confirmed after ' || iteration || ' iterations.' END AS reason, "
+        f"CASE WHEN {own} THEN citations ELSE retrieved END AS final_citations FROM trace QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY iteration DESC) = 1) SELECT * FROM trace JOIN last USING (question_id)",
+        "date_stamps": "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'reviewed-results-snapshot' ELSE strftime(TIMESTAMP '2026-01-31 21:05:09' + to_hours(item_id * 7), '%-m/%-d/%Y, %-I:%M:%S %p') END AS shown FROM benchmark",
+        "jsonl_round_trip": "SELECT doc_id, md5(text) AS text_md5, lang, source FROM documents",
         "missing_fields": f"SELECT 'q' || item_id AS question_id, 'error' AS severity, 'missing_fields' AS rule, 'missing required fields: ' || array_to_string({_LOST}, ', ') AS message FROM benchmark WHERE len({_LOST}) > 0",
         "not_boolean": "SELECT 'q' || item_id AS question_id, 'error' AS severity, 'not_boolean' AS rule, 'answerable must be a boolean' AS message FROM benchmark WHERE item_id % 3 = 0 OR item_id % 4 = 0",
         "gates": "SELECT * FROM (VALUES ('benchmark with errors', true), ('benchmark with warnings', false), ('missing labels', true), ('no reviews', true)) t(input, refused)",
@@ -424,7 +457,7 @@ def oracle_sql() -> dict[str, str]:
         "normalize_question": r"SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS folded FROM benchmark",
         "keyword_cleanup": f"SELECT item_id, array_to_string(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i), '|') AS keywords FROM (SELECT item_id, {cut} AS k FROM benchmark)",
         "clean_lines": rf"SELECT doc_id, md5({strip(r'''regexp_replace(array_to_string(list_filter(l, lambda x, i: x <> '' OR (i > 1 AND l[i - 1] <> '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')''')}) AS digest FROM (SELECT doc_id, {tidy} AS l FROM documents)",
-        "line_flags": f"SELECT count(*) AS n, count_if({CONTENTS})::BIGINT AS contents, count_if({TITLE})::BIGINT AS titles, count_if({HEADING})::BIGINT AS headings, count_if({LETTERED})::BIGINT AS lettered, count_if({METADATA})::BIGINT AS metadata FROM (SELECT {strip('x')} AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents))",
+        "line_flags": f"SELECT doc_id, count(*) AS n, count_if({CONTENTS})::BIGINT AS contents, count_if({TITLE})::BIGINT AS titles, count_if({HEADING})::BIGINT AS headings, count_if({LETTERED})::BIGINT AS lettered, count_if({METADATA})::BIGINT AS metadata FROM (SELECT doc_id, {strip('x')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)) GROUP BY doc_id",
         "page_hashes": "SELECT page_id, sha256(html) AS sha256 FROM pages",
         "section_blocks": BLOCKS,
         "chunk_passages": f"WITH RECURSIVE {PASSAGES} SELECT doc_id, printf('%d__%04d', doc_id, chunk_index) AS chunk_id, chunk_index::INT AS chunk_index, x.section AS section, x.text AS text, {words('x.text')}::INT AS word_count FROM passages",
@@ -457,7 +490,14 @@ def oracle_sql() -> dict[str, str]:
         "flagged_rows": f"WITH {REVIEWS} SELECT question_id, system, manual_correct, manual_citation_supported, manual_hallucinated FROM revs WHERE {ISSUE}",
         "label_findings": f"WITH {REVIEWS} " + " UNION ALL ".join(f"SELECT question_id, system, '{k}' AS kind, {m} AS message FROM revs WHERE {w}" for k, w, m in labels),
         "issue_counts": f"WITH {REVIEWS} SELECT question_id, count(*) FILTER (manual_correct) AS correct, count(*) FILTER (manual_hallucinated) AS hallucinated, count(*) FILTER (NOT manual_citation_supported) AS unsupported_citation FROM revs GROUP BY 1",
-        "explorer_filter": f"WITH {QRELS}, {REVIEWS} SELECT question_id, question, topic FROM questions q WHERE (contains(lower(question), 'an') OR contains(question_id::VARCHAR, 'an')) AND difficulty = 'medium' AND EXISTS (SELECT 1 FROM revs r WHERE r.question_id = q.question_id AND {ISSUE})",
+        "explorer_filter": f"WITH {QRELS}, {REVIEWS}, issues AS (SELECT DISTINCT question_id FROM revs WHERE {ISSUE}) " + " UNION ALL ".join(
+            f"SELECT {_q(name)} AS filter, question_id, md5(question) AS question_md5 FROM questions WHERE {where}"
+            for name, where in (
+                ("text", "contains(lower(question), 'the')"), ("id", "contains(lower(question), '1') OR contains(question_id::VARCHAR, '1')"), ("medium", "difficulty = 'medium'"),
+                ("none", "topic = 'none'"), ("answerable", "answerable"), ("issues", "question_id IN (SELECT question_id FROM issues)"),
+                ("all", "(contains(lower(question), 'an') OR contains(question_id::VARCHAR, 'an')) AND difficulty = 'medium' AND question_id IN (SELECT question_id FROM issues)"),
+            )
+        ),
         "facets": f"WITH {QRELS} SELECT DISTINCT 'topic' AS facet, topic AS value FROM questions UNION SELECT DISTINCT 'difficulty', difficulty FROM questions",
         "system_summary": f"WITH {REVIEWS}, {REVIEWED} SELECT list_position({SYSTEM}, system)::INT AS position, array_to_string(list_transform(string_split(system, '_'), lambda w: upper(w[1]) || substr(w, 2)), ' ') AS name, {percent('reviewed_correct_rate')} AS correct, {percent('reviewed_hallucination_rate')} AS hallucinated, CASE WHEN system = 'non_rag' THEN 'n/a' ELSE {percent('citation_support_rate')} END AS citation_support FROM reviewed",
         "shown_answers": f"WITH {GENERATIONS} SELECT question_id, md5(coalesce(CASE WHEN NOT abstained THEN nullif(answer, '') END, CASE WHEN system <> 'non_rag' THEN 'abstained' END, 'No answer recorded.')) AS shown_md5 FROM flags",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +76,9 @@ def clean_lines(spark, sf):
 
 @query
 def line_flags(spark, sf):
-    rows = _docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")).select(tx.strip(F.col("line")).alias("line"))
+    rows = _docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", tx.strip(F.col("line")).alias("line"))
     line = F.col("line")
-    return rows.agg(
+    return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(cleaning.is_contents_line(line)).alias("contents"), F.count_if(tx.is_title_line(line)).alias("titles"),
         F.count_if(tx.is_section_heading(line)).alias("headings"), F.count_if(tx.is_lettered_heading(line)).alias("lettered"), F.count_if(tx.is_metadata_line(line)).alias("metadata"),
     )
@@ -199,9 +200,11 @@ def qrel_flags(spark, sf):
 
 @query
 def predictions(spark, sf):
-    """Rows only: nested records; their rows are those of qrel_flags."""
+    """The nested records, their results as one text."""
     asked, _, judged, _ = _evaluated(spark, sf)
-    return metrics.predictions(asked, judged)
+    shown = lambda r: F.concat_ws(" ", *[r[c].cast("string") for c in ("rank", "chunk_id", "doc_id", "relevance", "is_gold_doc", "is_near_miss_doc")])
+    rows = metrics.predictions(asked, judged)
+    return rows.select("question_id", "answerable", "topic", "question_type", "difficulty", F.array_join(F.transform("retrieved", shown), ", ").alias("retrieved"))
 
 
 @query
@@ -287,8 +290,15 @@ def _stub() -> generation.KeywordModel:
 
 @query
 def iterkey_trace(spark, sf):
-    """Rows only: the loop around a stub model; tests hold it against a plain loop."""
-    return generation.iterate_keywords(_asked(spark, sf), bind.chunks(spark, sf), _stub(), max_iterations=2)
+    """The loop around a stub model, two rounds, and its last answers."""
+    asked = _asked(spark, sf)
+    trace = generation.iterate_keywords(asked, bind.chunks(spark, sf), _stub(), max_iterations=2)
+    rows = trace.select(
+        "question_id", F.col("iteration").cast("int").alias("iteration"), F.array_join("keywords", "|").alias("keywords"), F.md5("expanded_query").alias("query_md5"),
+        F.array_join("retrieved_chunk_ids", ",").alias("retrieved"), "answer", "abstained", F.array_join("citations", ",").alias("citations"), "is_supported",
+    )
+    last = generation.final_answers(asked, trace).select("question_id", F.col("answer").alias("final_answer"), F.coalesce("abstention_reason", F.lit("")).alias("reason"), F.array_join("citations", ",").alias("final_citations"))
+    return rows.join(last, "question_id")
 
 
 def _analysed(spark, sf):
@@ -337,8 +347,14 @@ def issue_counts(spark, sf):
 
 @query
 def explorer_filter(spark, sf):
-    asked = bind.benchmark(spark, sf).questions()
-    return evaluation.explore(asked, bind.reviews(spark, sf), text="an", difficulty="medium", issues_only=True).select("question_id", "question", "topic")
+    """Each filter alone and some together."""
+    asked, reviews = written(bind.benchmark(spark, sf).questions(), "questions"), bind.reviews(spark, sf)
+    settings = {
+        "text": {"text": "THE"}, "id": {"text": "1"}, "medium": {"difficulty": "medium"}, "none": {"topic": "none"}, "answerable": {"answerable": True}, "issues": {"issues_only": True},
+        "all": {"text": "an", "difficulty": "medium", "issues_only": True},
+    }
+    parts = [evaluation.explore(asked, reviews, **options).select(F.lit(name).alias("filter"), "question_id", F.md5("question").alias("question_md5")) for name, options in settings.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -450,3 +466,18 @@ def question_detail(spark, sf):
     shown = evaluation.explore(asked, bind.reviews(spark, sf), difficulty="hard")
     rows = evaluation.question_detail(asked, bind.full_reviews(spark, sf), shown)
     return rows.select("question_id", F.md5("question").alias("question_md5"), "answerable", F.md5("gold").alias("gold_md5"), "system", "position", "manual_correct")
+
+
+@query
+def date_stamps(spark, sf):
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", (F.lit("2026-01-31 21:05:09").cast("timestamp") + F.make_dt_interval(hours=F.col("item_id") * 7)).alias("at"))
+    value = F.when(F.col("item_id") % 5 == 0, "reviewed-results-snapshot").otherwise(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"))
+    return rows.select("item_id", tx.date_stamp(value).alias("shown"))
+
+
+@query
+def jsonl_round_trip(spark, sf):
+    """Documents written as JSON lines and read again with a declared schema."""
+    path = scratch_path(spark, "jsonl")
+    files.write_jsonl(_docs(spark, sf).select("doc_id", "text", "lang", "source"), path)
+    return files.read_jsonl(spark, path, "doc_id long, text string, lang string, source string").select("doc_id", F.md5("text").alias("text_md5"), "lang", "source")
