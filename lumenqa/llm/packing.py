@@ -14,8 +14,10 @@ bucket), so no length, however common, has to meet in one task.
 
 from __future__ import annotations
 
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -24,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import Batches, tidied, written
 
 END_ID = 1
-#: Numbers are given within (length, bucket); buckets keep a common length spread over tasks.
-BUCKETS = 256
-#: Words in the cache of a tokenising worker; as many again are in the old one (some 180 MB in all).
-CACHE_WORDS = 450_000
+#: Numbers are given within (length, bucket) of so many pieces at most, on average, and buckets
+#: enough that a common length is spread over tasks.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 256
+#: Bytes of known words that a tokenising worker holds, in two generations; they go at the end of a task.
+CACHE_BYTES = 64 << 20
+#: A dictionary entry with its key and value objects takes about so many bytes besides their contents.
+_ENTRY_BYTES = 170
 
 
 def _latin_class(kind: str) -> str:
@@ -40,77 +45,86 @@ def _latin_class(kind: str) -> str:
     return "".join(f"\\x{i:02x}" for i in range(256) if unicodedata.category(chr(i))[0] == kind and chr(i).lower() == chr(i))
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a letter: printable ones as they are, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids of what stands between white space, made when first asked for.
+
+    ``size`` estimates the bytes held; ``old`` is the generation before, from which what is met again
+    is taken back.
+    """
+
+    def __init__(self, ids: Callable[[str], bytes], cut: Callable[[str], list[str]], old: dict[str, bytes]) -> None:
+        self.ids, self.cut, self.old, self.size = ids, cut, old, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        raw = self.old.get(chunk)
+        if raw is None:
+            words = [chunk] if chunk.isalpha() else self.cut(chunk)
+            raw = self.ids(chunk) if len(words) == 1 else b"".join([self[w] for w in words])
+        self[chunk] = raw
+        self.size += len(chunk) + len(raw) + _ENTRY_BYTES
+        return raw
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Texts whose characters all lie in Latin-1 are cut into words by the vocabulary's own pattern
-    and each word's ids are looked up in a cache filled by the tokenizer, which gives the same ids
-    much faster.  Any other text, and any text that could hold a special token, goes to the
-    tokenizer whole.
+    Texts whose characters all lie in Latin-1 are cut into words by the vocabulary's own pattern, and
+    the vocabulary's model gives the ids of each word that isn't known yet; that gives the same ids
+    as the whole tokenizer, much faster.  Any other text, and any text that could hold a special
+    token, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         import json
         import re
 
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache_bytes = Tokenizer.from_file(path), cache_bytes
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        splits = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.cached = kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [pattern]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        splits = [p.get("pattern", {}).get("Regex") for p in steps]
+        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == [pattern, None] and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
         letters, numbers = _latin_class("L"), _latin_class("N")
-        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
+        names = byte_letters()
+        self.letters = {i: "".join(names[b] for b in chr(i).encode()) for i in range(256)}
+        self.model = self.tokenizer.model
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all known words."""
+        self.words = _Words(self.ids, self.cut, {})
+
+    def ids(self, word: str) -> bytes:
+        found = self.model.tokenize(word if word.isascii() and word.isalnum() else word.translate(self.letters))
+        return array("I", [t.id for t in found]).tobytes() if sys.byteorder == "little" else np.array([t.id for t in found], "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self.cached or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() cuts there, the vocabulary doesn't
+        if not self.by_word or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() cuts there, the vocabulary doesn't
             return self.whole(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self.whole(text)
-        chunks, cache = text.lower().split(), self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            self.fill(chunks)
-            return b"".join([self.cache[c] for c in chunks])
-
-    def fill(self, chunks: list[str]) -> None:
-        """Caches what stands between white space, by way of the words in it.
-
-        A full cache becomes the old one, from which what is met again is taken back.
-        """
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.old = {}, self.cache
-        cache, old = self.cache, self.old
-        new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        cut = {c: self.words(c) for c in new if c not in old and not c.isalpha()}
-        needed = dict.fromkeys([*new, *(w for words in cut.values() for w in words)])
-        cache.update((w, old[w]) for w in needed if w in old)
-        self.learn([w for w in needed if w not in cache and len(cut.get(w, "1")) == 1])
-        cache.update((c, b"".join([cache[w] for w in words])) for c, words in cut.items() if c not in cache)
-
-    def learn(self, words: list[str]) -> None:
-        """Fills the cache by one call: a space between two words keeps them apart."""
-        if not words:
-            return
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, at = np.array(found.ids, "<u4").tobytes(), found.word_ids
-        starts = [i for i, w in enumerate(at) if not i or w != at[i - 1]]
-        if len(starts) != len(words):
-            self.cache.update((w, self.whole(w)) for w in words)
-            return
-        for w, a, b in zip(words, starts, [*starts[1:], len(at)], strict=True):
-            self.cache[w] = ids[4 * a : 4 * b]
+        raw = b"".join(map(self.words.__getitem__, text.lower().split()))
+        if self.words.size > self.cache_bytes // 2:
+            full, self.words = self.words, _Words(self.ids, self.cut, self.words)
+            full.old = {}
+        return raw
 
 
 @lru_cache(maxsize=2)
@@ -128,28 +142,31 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = np.array([END_ID], "<u4").tobytes()
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         encode = encoder(tokenizer_path)
-        for batch in batches:
-            at, rows, ids = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                raw = encode(text.as_py() or "") + end
-                for k, a in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[a : a + 4 * capacity]
-                    at.append(i)
-                    rows.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            columns = [batch.column(0).take(pa.array(at, pa.int64()))]
-            columns += [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)]
-            names = ["doc_id", *(n for n, _ in fields)]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                at, rows, ids = [], [], []
+                for i, text in enumerate(batch.column(1)):
+                    raw = encode(text.as_py() or "") + end
+                    for k, a in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[a : a + 4 * capacity]
+                        at.append(i)
+                        rows.append((k, a // 4, len(part) // 4, zlib.crc32(part)))
+                        if with_ids:
+                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                columns = [batch.column(0).take(pa.array(at, pa.int64()))]
+                columns += [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)]
+                names = ["doc_id", *(n for n, _ in fields)]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            encode.forget()
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)
 
 
 def plan(
@@ -218,9 +235,10 @@ def plan(
     return np.array(ranges, np.int64).reshape(-1, 6)
 
 
-def numbered(items: DataFrame) -> DataFrame:
-    """``items`` (row_id, length, ...) with number: 0, 1, ... among the rows of a length."""
-    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("row_id"), F.lit(BUCKETS)))
+def numbered(items: DataFrame, most: int) -> DataFrame:
+    """``items`` (row_id, length, ...) with number: 0, 1, ... among the rows of a length, at most ``most``."""
+    buckets = max(LEAST_BUCKETS, -(-most // BUCKET_ROWS))
+    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("row_id"), F.lit(buckets)))
     counts = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -243,7 +261,8 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
 
     Without limits on documents and attention cost these can't bind, and tokens alone decide.
-    Repeated rows are packed once each; an empty table gives an empty result.
+    Rows with null ids and repeated rows are packed once each, under the id they have; null and empty
+    texts are one token.  An empty table gives an empty result, and other columns are not read.
     """
     cut = pieces(docs, tokenizer_path, id_col, text_col, capacity, with_ids)
     cut = written(cut.withColumn("row_id", F.monotonically_increasing_id()), label)
@@ -252,7 +271,7 @@ def pack(
     shared = docs.sparkSession.sparkContext.broadcast(ranges)  # rows follow the lengths, not the documents
     columns = [c for c in cut.columns if c != "row_id"]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Batches) -> Batches:
         r = shared.value
         order = np.lexsort((r[:, 1], r[:, 0]))
         r = r[order]
@@ -267,7 +286,7 @@ def pack(
             yield pa.RecordBatch.from_arrays(out, [*columns, "sequence_id", "offset"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "row_id")
-    return numbered(cut).select(*columns, "number").mapInArrow(place, f"{types}, sequence_id long, offset long")
+    return numbered(cut, max(histogram.values(), default=0)).select(*columns, "number").mapInArrow(place, f"{types}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
