@@ -13,15 +13,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import Batches, crc_fold, map_rows, tidied, written
 
 WORD_BITS = 15
 #: One-hot slots of the structure statistics and of the metadata come after the hashed words.
@@ -29,17 +28,14 @@ BINS, STATS = 16, 12
 SIZE = (1 << WORD_BITS) + BINS * STATS
 MAX_ROWS = 6000
 THRESHOLD = 0.3
-_CACHE_WORDS = 300_000
-_slots: dict[str, int] = {}
+#: The driver takes the training rows in the order of a hash until their features fill so many bytes.
+MAX_BYTES = 256 << 20
+#: Documents are scored together until they have so many features, or a batch ends.
+SCORED_FEATURES = 100_000
 
 
 def _slot(word: str) -> int:
-    at = _slots.get(word)
-    if at is None:
-        if len(_slots) > _CACHE_WORDS:
-            _slots.clear()
-        at = _slots[word] = zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
-    return at
+    return zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
 
 
 def _share(x: float) -> int:
@@ -130,57 +126,98 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int
     return m
 
 
+#: Training ids are taken in neighbourhoods of so many and looked for in so many ranges, so that a scan
+#: in the order of ids can skip most of a large table.
+NEIGHBOURS, RANGES = 64, 128
+
+
+def _ranges(ids: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all ids, cut at the widest gaps."""
+    ids = sorted(set(ids))
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
+    starts = sorted([0, *gaps])
+    return [(ids[a], ids[b - 1]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+
+
+def _any(tests: list[Column]) -> Column:
+    """A balanced or, as deep as the logarithm of its parts."""
+    return tests[0] if len(tests) == 1 else _any(tests[: len(tests) // 2]) | _any(tests[len(tests) // 2 :])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = 5) -> DataFrame:
     """(doc_id, text, n_chars, label): at most ``max_rows`` labelled rows outside the held-out fold.
 
-    Ids labelled both ways, null ids and null labels are left out; repeated labels count once.
+    Neighbourhoods of ids are taken in the order of a hash, until there are enough rows.  Ids
+    labelled both ways, null ids and null labels are left out; repeated labels count once.
     """
+    whole = labels.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     clean = labels.filter(F.col("quality").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != 0))
     once = clean.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other")
-    picked = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("__id"), "label")
+    place = F.xxhash64(F.floor(F.col("doc_id") / NEIGHBOURS)) if whole else F.xxhash64("doc_id")
+    picked = once.orderBy(place, "doc_id").limit(max_rows).select("doc_id", "label").collect()  # at most max_rows
     rows = docs.select("doc_id", "text", "n_chars")  # other columns may have any name
-    return rows.join(F.broadcast(picked), rows["doc_id"] == picked["__id"]).select("doc_id", "text", "n_chars", "label")  # at most max_rows
+    if not picked:
+        return rows.limit(0).withColumn("label", F.lit(0))
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in picked], f"`__id` {labels.schema['doc_id'].dataType.simpleString()}, label int")
+    if whole:
+        rows = rows.filter(_any([F.col("doc_id").between(a, b) for a, b in _ranges([r["doc_id"] for r in picked])]))
+    return rows.join(F.broadcast(wanted), rows["doc_id"] == wanted["__id"]).select("doc_id", "text", "n_chars", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> Machine:
-    """Fits the machine; features are made on the executors, the driver gets numbers only."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, label: str = "quality", **options) -> Machine:
+    """Fits the machine; features are made on the executors, the driver gets numbers only.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    It gets at most ``max_rows`` rows of ids (twice that where ids repeat) and ``max_bytes`` of
+    features, in the order of a hash.
+    """
+
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             ids, texts, sizes, marks = (c.to_pylist() for c in batch.columns)
             made = [features(t, n) for t, n in zip(texts, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([str(i) for i in ids]), pa.array([i.astype("<u4").tobytes() for i, _ in made]), pa.array([v.astype("<f4").tobytes() for _, v in made]), pa.array(marks, pa.int32())],
+                [pa.array([str(i) for i in ids], pa.string()), pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary()), pa.array(marks, pa.int32())],
                 ["doc_id", "index", "value", "label"],
             )
 
-    got = training_rows(docs, labels, max_rows).mapInArrow(run, "doc_id string, index binary, value binary, label int").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["index"])))[: 2 * max_rows]
+    made = training_rows(docs, labels, max_rows).mapInArrow(tidied(run), "doc_id string, index binary, value binary, label int")
+    made = written(made, label)
+    got, size = [], 0
+    for r in made.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("index", "value")).toLocalIterator():  # a partition at a time
+        size += len(r["index"]) + len(r["value"])
+        if size > max_bytes or len(got) == 2 * max_rows:
+            break
+        got.append(r)
     rows = [(np.frombuffer(r["index"], "<u4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in got]
     return fit(rows, np.array([r["label"] for r in got], float), **options)
 
 
+def _scored(machine: Machine, texts: pa.Array, sizes: pa.Array) -> np.ndarray:
+    """The scores of a batch; features of a few documents at a time are held, however long they are."""
+    out, held, size = [np.zeros(0)], [], 0
+    for text, n in zip(texts, sizes, strict=True):
+        held.append(features(text.as_py(), n.as_py()))
+        size += len(held[-1][0])
+        if size > SCORED_FEATURES:
+            out.append(machine.scores(*_ragged(held)))
+            held, size = [], 0
+    if held:
+        out.append(machine.scores(*_ragged(held)))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """(doc_id, score): one row per row of ``docs``; null and empty texts are scored like others."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors))
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         m = Machine(*shared.value)
         for batch in batches:
-            out, held, size = [], [], 0
-            for text, n in zip(batch.column(1), batch.column(2), strict=True):
-                held.append(features(text.as_py(), n.as_py()))
-                size += len(held[-1][0])
-                if size > 200_000:  # bounded memory, however long the texts
-                    out.append(m.scores(*_ragged(held)))
-                    held, size = [], 0
-            if held:
-                out.append(m.scores(*_ragged(held)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scored(m, batch.column(1), batch.column(2)))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(size_col).cast("long").alias("n"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, score double")
+    return rows.mapInArrow(tidied(run), f"doc_id {id_type}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -194,21 +231,23 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the machine does not reject, all columns as they were, in one pass."""
-    machine = train(docs, labels, max_rows)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that the machine does not reject, all columns as they were, in one pass.
+
+    Rows are scored as by :func:`score`; repeated rows stay or go together, and an empty table gives
+    an empty result.
+    """
+    machine = train(docs, labels, max_rows, label=label)
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors))
     text_at, size_at = docs.columns.index("text"), docs.columns.index("n_chars")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         m = Machine(*shared.value)
         for batch in batches:
-            good = []
-            for text, n in zip(batch.column(text_at), batch.column(size_at), strict=True):
-                good.append(bool(m.scores(*_ragged([features(text.as_py(), n.as_py())]))[0] >= threshold))
+            good = _scored(m, batch.column(text_at), batch.column(size_at).cast(pa.int64())) >= threshold
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, [])
 
 
 __all__ = ["Machine", "classify", "features", "fit", "keep_good", "score", "train", "training_rows"]

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenqa.llm import catalogue, mixing, packing, quality, topk
+from lumenqa.llm.common import scratch_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -200,14 +201,31 @@ def brute_topk(rows, k):
     def ints(v):
         return None if v is None or any(x is None or not math.isfinite(x) for x in v) else [math.floor(256 * float(x)) for x in v]
 
-    valid = {i: ints(v) for i, v in rows if i is not None and ints(v) is not None}
+    valid = [(i, ints(v)) for i, v in rows if i is not None and ints(v) is not None]
     out = []
-    for q in sorted(i for i in valid if i % 50 == 0):
-        s = sorted((-sum(a * b for a, b in zip(valid[q], v, strict=True)), i) for i, v in valid.items() if i != q and len(v) == len(valid[q]))
-        out += [(q, n, i, -s) for n, (s, i) in enumerate(s[:k], 1)]
+    for n, (q, own) in enumerate(valid):  # every row but the query's own is a candidate
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for m, (i, v) in enumerate(valid) if m != n and len(v) == len(own))
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(s[:k], 1)]
     return out
 
 
+def test_topk_reads_fewer_entries_than_there_are():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(20_000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True))
+    q, other = v[:40], np.ones((40, 20_000), bool)
+    other[np.arange(40), np.arange(40)] = False
+    scores = np.where(other, q @ v.T, -np.inf)
+    seen = topk.gathered(q, v[::16], np.arange(0, 20_000, 16), other[:, ::16], 5, 4)
+    cutoff = np.array([np.sort(s)[-5] for _, s in seen])
+    assert (cutoff <= np.sort(scores, axis=1)[:, -5]).all()  # safe
+    i, j, found, read = topk.sufficient(q, v, cutoff, other, 4)
+    want = np.argwhere(scores >= cutoff[:, None])
+    assert sorted(zip(i, j, strict=True)) == sorted(map(tuple, want)) and (found == scores[i, j]).all()
+    assert read + 4 * 40 * 1250 < 0.95 * 4 * 40 * 20_000
+
+
 @pytest.mark.parametrize("lists", [1, 2, 5])
 def test_topk_brute_force(spark, lists, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 60)
@@ -216,7 +234,7 @@ def test_topk_brute_force(spark, lists, monkeypatch):
     f32 = lambda: float(np.float32(rng.uniform(-1, 1)))
     rows = [(i, [f32() for _ in range(7)]) for i in range(400)]
     rows += [(i, rows[i % 10][1]) for i in range(400, 480)]  # ties
-    rows += [(500, None), (550, [1.0, None] + [0.0] * 5), (501, [float("nan")] * 7), (502, [float("inf")] + [0.0] * 6), (600, [0.5, 0.5]), (650, []), (651, []), (601, [1.0, 1.0]), (None, rows[0][1]), (3, rows[3][1])]
+    rows += [(500, None), (550, [1.0, None] + [0.0] * 5), (501, [float("nan")] * 7), (502, [float("inf")] + [0.0] * 6), (600, [0.5, 0.5]), (650, []), (651, []), (601, [1.0, 1.0]), (None, rows[0][1]), (3, rows[3][1]), (50, rows[7][1]), (100, rows[100][1])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = topk.search(df, F.col("vec_id") % 50 == 0, 5, lists=lists).collect()
     assert sorted(map(tuple, got)) == sorted(brute_topk(rows, 5))
@@ -235,7 +253,7 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, ids = docs.columns, [{r["doc_id"] for r in docs.select("doc_id").collect()}]
-    path = cp.scratch_path(spark, "test")
+    path = scratch_path(spark, "test")
     for n, (_, stage) in enumerate(cp.STAGES):
         out = stage(spark, docs, SF)
         out.write.parquet(f"{path}/{n}")
@@ -251,3 +269,73 @@ def test_pipeline(spark):
     assert Counter(i for i, p in pieces if p == 0).keys() == ids[4].keys()
     assert sum(1 for r in docs.collect() if r["piece"] == 0) == sum(ids[4].values())
     assert sorted((r["doc_id"], r["piece"]) for r in cp.run(spark, SF).collect()) == sorted((r["doc_id"], r["piece"]) for r in docs.collect())
+
+
+EDGES = [
+    (1, "alpha beta gamma delta", "s", 3.0), (1, "alpha beta gamma delta", "s", 3.0), (1, "quite another text under this id", "s", 0.0), (2, None, None, None), (3, "", "t", 1.0),
+    (None, "no id here but words", "t", 1.0), (None, "no id here but words", "t", 1.0), (None, None, None, None), (4, "word " * 30_000, "s", 2.0), (5, "ALPHA beta gamma delta", "u", 2.0), (6, " \n\t ", None, 1.0),
+]
+
+
+@pytest.mark.parametrize("rows", [EDGES, []])
+def test_pipeline_edges(spark, tmp_path, rows):
+    """Null and repeated ids, empty and long texts, repeated rows, empty tables and a column with a dot."""
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), x) for i, t, s, x in rows], "doc_id long, text string, lang string, source string, n_chars long, `a.b` double")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, None, 1), (3, 0, 0), (3, 0, 0)][: 4 if rows else 0], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = [sorted(map(str, got.collect()))]
+    for n, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, got, str(tmp_path)).write.parquet(f"{tmp_path}/out-{n}")
+        got = spark.read.parquet(f"{tmp_path}/out-{n}")
+        if n < 4:
+            assert got.columns == docs.columns
+            seen.append(sorted(map(str, got.collect())))
+            assert set(seen[-1]) <= set(seen[-2])
+    if not rows:
+        assert got.count() == 0 and cp.run(spark, str(tmp_path)).count() == 0
+        return
+    norm = lambda r: " ".join((r["text"] or "").split(" "))
+    kept = spark.read.parquet(f"{tmp_path}/out-1").collect()
+    assert len({norm(r) for r in kept}) == len(kept)
+    near = {(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/out-2").collect()}
+    assert (1, "quite another text under this id") in near and (5, "ALPHA beta gamma delta") not in near
+    pieces, last = got.collect(), spark.read.parquet(f"{tmp_path}/out-3").collect()
+    assert sum(r["piece"] == 0 for r in pieces) == len(last)
+    assert cp.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_packing_numbers_and_training_bounds(spark):
+    """Pieces of a length are numbered without gaps; training stops at its bounds."""
+    items = spark.createDataFrame([(i, 5 + i % 3) for i in range(900)], "row_id long, length long")
+    got = defaultdict(list)
+    for r in packing.numbered(items, 300).collect():
+        got[r["length"]].append(r["number"])
+    assert all(sorted(v) == list(range(300)) for v in got.values()) and len(got) == 3
+    df = docs(spark, [(i, f"{'good' if i % 2 else 'bad'} words {i}", "s") for i in range(60)]).withColumn("n_chars", F.lit(12).cast("long"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert quality.training_rows(df, labels, 10).count() == 10
+    few = quality.train(df, labels, 40, max_bytes=1)  # not one row fits: the prior
+    assert few.bias == 0 and not few.linear.any()
+    ids = [5, 6, 9, 100, 101, 7, 7, 5000]
+    assert quality._ranges(ids, 3) == [(5, 9), (100, 101), (5000, 5000)] and quality._ranges(ids, 1) == [(5, 5000)] and len(quality._ranges(ids)) == 7 - 0
+    words = df.select(F.concat(F.lit("id"), F.col("doc_id")).alias("doc_id"), "text", "n_chars")
+    assert quality.training_rows(words, labels.select(F.concat(F.lit("id"), F.col("doc_id")).alias("doc_id"), "quality"), 10).count() == 10
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lumenqa.llm import common
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf), conf=conf)
+
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_root(session(master))
+        assert common.shared_root(session(master, "hdfs:///tmp/x/")) == "hdfs:///tmp/x"
+    assert common.shared_root(session("local[4]")).startswith("file:")
