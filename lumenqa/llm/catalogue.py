@@ -29,14 +29,24 @@ def tokenizer_path() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later occurrences of repeated runs of two or more lines: doc_id, text, n_lines, removed_lines.
+
+    Null texts stay null, empty ones empty; an empty table gives an empty result.
+    """
     return line_dedup.remove_repeats(read(spark, sf_dir, "documents"), cut=line_dedup.line_pairs)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars.  Null and empty pages have the empty text."""
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the probe, formatted and read back: digests and sizes per conv_id.
+
+    Null texts and roles are empty; turns that tie go by role and text; null ids are one conversation.
+    Of an empty table the probe is left.
+    """
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, i, role, PROBE) for i, role in enumerate(("user", "assistant"))], rows.schema)
     made = chat.format_conversations(rows.unionByName(probe))
@@ -51,37 +61,45 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its held_out flag, score and prediction.  Null and empty texts are scored, too."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for each whose id is divisible by 50; unusable vectors take no part."""
     vectors = read(spark, sf_dir, "embeddings")
     return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; null and empty texts are the end token alone."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for personal data; null texts stay null."""
     return pii.pseudonymise(read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the id that stays for its text; null texts count as empty, null ids as largest."""
     found = exact_dedup.deduplicate(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words the mix takes of it; null texts have none, null sources are a source."""
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id reachable over links; wordless texts have fingerprint zero."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five stages; the pieces of the packed corpus."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.struct(text.alias("text"), (F.size(lines) - F.size(kept)).alias("removed"))
 
     met = met.withColumn("left", F.when(F.col("gone").isNotNull(), let(F.split("text", "\n", -1), left)))
-    n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return met.select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("left.text")).alias("text"),
         F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("left.removed", F.lit(0)).cast("long").alias("removed_lines"),
