@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(df: DataFrame, rows: Column, *columns: str | Column, names: tuple[str, ...] = ("at", "x")) -> DataFrame:
+    """``columns`` of ``df`` with each element of an array and its place.
+
+    For an array that costs something to make: the outer form keeps the optimizer from making it
+    once more to leave out rows whose array is empty.
+    """
+    return df.select(*columns, F.posexplode_outer(rows).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def places(rows: Column, test: Callable[[Column], Column]) -> Column:
     """The numbers, from 0, of the elements that pass a test."""
     return F.filter(F.transform(rows, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions.columns import exploded, let
 from ..sources.scratch import written
 
 K1, B = 1.2, 0.65
@@ -32,30 +33,50 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: A token of a field other than the body ends with the field's mark, which no token holds.
+MARKS = {"title": "\x01", "section": "\x02", "topic": "\x03"}
+
+
 def weighted_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, chunk_index, length, term, weight, named): one row per field token.
+    """(chunk_id, doc_id, chunk_index, entries): one (length, entry) for each token of all fields, with its field's mark.
 
-    The weighted length is worked out in the row, so the corpus is not shuffled for it.
+    The first entry is empty: it stands for the chunk.  The weighted length is worked out in the row,
+    and it is in the entries so that a plan makes the tokens of a chunk once.
     """
-    fields = [("title", F.col("title"), TITLE, True), ("section", F.col("section"), SECTION, True), ("topic", F.col("topic"), TOPIC, False), ("body", tx.body_text(F.col("text"), F.col("section")), BODY, False)]
-    rows = chunks.select("chunk_id", "doc_id", "chunk_index", *[tx.tokens(c).alias(n) for n, c, _, _ in fields])
-    length = sum((F.size(n) * w for n, _, w, _ in fields), F.lit(0))
+    fields = {"title": (F.col("title"), TITLE), "section": (F.col("section"), SECTION), "topic": (F.col("topic"), TOPIC), "body": (tx.body_text(F.col("text"), F.col("section")), BODY)}
+
+    def marked(tokens: Column, mark: str) -> Column:
+        return F.transform(tokens, lambda x: F.concat(x, F.lit(mark)))
+
+    def counted(t: Column) -> Column:
+        every = F.concat(F.array(F.lit("")), *[marked(t[n], m) for n, m in MARKS.items()], t["body"])
+        length = sum((F.size(t[n]) * w for n, (_, w) in fields.items()), F.lit(0))
+        return let(length, lambda size: F.transform(every, lambda x: F.struct(size.alias("length"), x.alias("entry"))))
 
-    def entry(weight: int, named: bool) -> Callable[[Column], Column]:
-        return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(named).alias("named"))
+    entries = let(F.struct(*[tx.tokens(c).alias(n) for n, (c, _) in fields.items()]), counted)
+    return chunks.select("chunk_id", "doc_id", "chunk_index", entries.alias("entries"))
 
-    entries = F.concat(*[F.transform(n, entry(w, named)) for n, _, w, named in fields])
-    return rows.select("chunk_id", "doc_id", "chunk_index", length.alias("length"), entries.alias("entries"))
 
+def corpus_stats(chunk_lengths: DataFrame) -> DataFrame:
+    """One row: n, average_length (0.0 for no chunks), of a row per chunk with its length."""
+    return chunk_lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average_length"))
 
-def corpus_stats(entries: DataFrame) -> DataFrame:
-    """One row: n, average_length (0.0 for no chunks)."""
-    return entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average_length"))
 
+def lengths(entries: DataFrame) -> DataFrame:
+    return entries.select(F.get("entries", F.lit(0))["length"].alias("length"))
 
-def postings(entries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, doc_id, chunk_index, length, term, tf, named); only of ``terms`` if given."""
-    rows = entries.select("chunk_id", "doc_id", "chunk_index", "length", F.inline("entries"))
+
+def postings(entries: DataFrame, terms: DataFrame | None = None, sizes: bool = False) -> DataFrame:
+    """(chunk_id, doc_id, chunk_index, length, term, tf, named); only of ``terms`` if given.
+
+    With ``sizes`` the empty term that stands for each chunk is among them.
+    """
+    title, section, topic = (F.endswith("entry", F.lit(MARKS[n])) for n in ("title", "section", "topic"))
+    rows = exploded(entries, F.col("entries"), "chunk_id", "doc_id", "chunk_index", names=("place", "e")).select("chunk_id", "doc_id", "chunk_index", "e.length", "e.entry")
+    rows = rows if sizes else rows.filter("entry <> ''")
+    term = F.when(title | section | topic, F.substring("entry", F.lit(1), F.char_length("entry") - 1)).otherwise(F.col("entry"))
+    weight = F.when(title, TITLE).when(section, SECTION).when(topic, TOPIC).otherwise(BODY)
+    rows = rows.select("chunk_id", "doc_id", "chunk_index", "length", term.alias("term"), weight.alias("weight"), (title | section).alias("named"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("chunk_id", "doc_id", "chunk_index", "length", "term").agg(F.sum("weight").alias("tf"), F.max("named").alias("named"))
@@ -81,9 +102,8 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, top_k: int = 5, k1: flo
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # reads the questions only
     send = F.broadcast if few else lambda df: df
     entries = weighted_terms(chunks)
-    size = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("weight"), F.lit(False).alias("named")))
     wanted = terms.select("term").unionByName(questions.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    counted = written(postings(entries.withColumn("entries", F.concat(size, "entries")), send(wanted)), "bm25")
+    counted = written(postings(entries, send(wanted), sizes=True), "bm25")
     found, sizes = counted.filter("term <> ''"), counted.filter("term = ''")
     frequent = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(corpus_stats(sizes))  # one row
@@ -259,7 +279,7 @@ class Retriever:
         """The parameters and the size of the collection."""
         own: dict[str, Any] = {"name": self.name, "num_chunks": self.chunks.count()}
         if self.name.startswith("bm25"):
-            average = corpus_stats(weighted_terms(self.chunks)).first()["average_length"]
+            average = corpus_stats(lengths(weighted_terms(self.chunks))).first()["average_length"]
             own |= {"k1": K1, "b": B, "avg_indexed_doc_len": average, "query_expansion": self.expand}
         else:
             own["encoder"] = getattr(self.encoder, "__name__", str(self.encoder))

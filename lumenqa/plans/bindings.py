@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.columns import let
+from ..functions.columns import exploded, let
 from ..operators import chunking
 from ..operators.generation import SYSTEMS
 from ..operators.retrieval import bounded
@@ -96,7 +96,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> Benchmark:
     short = marked.filter("anchor is null").select("question_id")
     seen = Observation("documents")
     observed = docs.observe(seen, F.max("doc_id").alias("most"))
-    words = observed.select("doc_id", F.explode(F.array_distinct(anchors(F.col("text"), 0, ANCHOR_WORDS))).alias("anchor"))
+    words = exploded(observed, F.array_distinct(anchors(F.col("text"), 0, ANCHOR_WORDS)), "doc_id", names=("place", "anchor"))
     candidates = written(words.join(bounded(marked.filter("anchor is not null"), 100_000), "anchor").select("doc_id", "question_id"), "benchmark")
     if not short.isEmpty():
         candidates = candidates.unionByName(docs.select("doc_id").crossJoin(F.broadcast(short)))

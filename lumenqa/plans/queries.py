@@ -126,14 +126,14 @@ def term_freq(spark, sf):
 @query
 def doc_freq_idf(spark, sf):
     entries = retrieval.weighted_terms(bind.chunks(spark, sf))
-    n = F.broadcast(retrieval.corpus_stats(entries))  # one row
+    n = F.broadcast(retrieval.corpus_stats(retrieval.lengths(entries)))  # one row
     rows = retrieval.document_frequencies(entries).crossJoin(n)
     return rows.select("term", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query
 def corpus_stats(spark, sf):
-    return retrieval.corpus_stats(retrieval.weighted_terms(bind.chunks(spark, sf))).select("n", F.round("average_length", 6).alias("average_length"))
+    return retrieval.corpus_stats(retrieval.lengths(retrieval.weighted_terms(bind.chunks(spark, sf)))).select("n", F.round("average_length", 6).alias("average_length"))
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
