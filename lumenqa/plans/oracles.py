@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.cleaning import CUT_SENTENCES, REPAIRS, REPEATED_LINES, REPEATED_PATTERNS, REPEATED_STARTS
 from ..functions.text import EXPANSIONS, METADATA_PREFIXES, STOPWORDS
 from ..operators.generation import SYSTEMS
 from ..operators.retrieval import SYSTEM_RETRIEVERS
@@ -366,6 +367,37 @@ PASSAGES = rf"""{BLOCK_ROWS}, long_blocks AS (
   )
 )"""
 
+_REPEATED = (
+    "(" + " OR ".join([f"starts_with(line, {_q(x)})" for x in REPEATED_STARTS] + [f"line IN ({_list(REPEATED_LINES)})"] + [f"regexp_full_match(line, {_q(x)})" for x in REPEATED_PATTERNS]) + ")"
+)
+_NOT_JOINED = r"(line = '' OR starts_with(line, '[Page ') OR regexp_matches(line, '^(\d+\.|[a-zA-Z]\.|[ivxlcdmIVXLCDM]+\.)\s+') OR " + TITLE + ")"
+_REPAIRED = "joined"
+for _cut in CUT_SENTENCES:
+    _REPAIRED = f"replace({_REPAIRED}, {_q(_cut)}, '')"
+_REPAIRED = rf"regexp_replace(regexp_replace({_REPAIRED}, '\b([A-Za-z]+)-\s+([A-Za-z]+)\b', '\1\2', 'g'), '\b([A-Za-z]+)\s+-\s+([A-Za-z]+)', '\1-\2', 'g')"
+for _old, _new in REPAIRS.items():
+    _REPAIRED = f"replace({_REPAIRED}, {_q(_old)}, {_q(_new)})"
+_SQUEEZED = strip("regexp_replace(x, '[ \\t]+', ' ', 'g')")
+_TIGHT = strip(r"regexp_replace(regexp_replace(x, '\b([A-Za-z]+)\s+-\s+([A-Za-z]+)', '\1-\2', 'g'), '\s{2,}', ' ', 'g')")
+#: Page text line by line; wrapped lines are put together one a step of the recursion.
+PDF = rf"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, list_transform(list_transform(string_split(translate(text, chr(160) || '–—', ' --'), chr(10)), lambda x: {_SQUEEZED}), lambda x: {_TIGHT}) AS l FROM documents
+), told AS (SELECT doc_id, list_transform(l, lambda line: CASE WHEN {CONTENTS} THEN '' ELSE line END) AS l FROM raw),
+once AS (SELECT doc_id, list_filter(l, lambda x, i: x <> '' OR (i > 1 AND l[i - 1] <> '')) AS l FROM told),
+kept AS (SELECT doc_id, list_filter(l, lambda line: NOT regexp_matches(line, '^\d+$') AND NOT {_REPEATED}) AS l FROM once),
+fold(doc_id, l, i, parts, last) AS (
+  SELECT doc_id, l, 0, []::VARCHAR[], '' FROM kept
+  UNION ALL
+  SELECT doc_id, l, i + 1, CASE WHEN joins THEN list_append(parts[:-2], last || ' ' || line) ELSE list_append(parts, line) END, CASE WHEN joins THEN last || ' ' || line ELSE line END
+  FROM (
+    SELECT *, l[i + 1] AS line, NOT ({_NOT_JOINED.replace('line', 'l[i + 1]')} OR last = '' OR starts_with(last, '[Page ') OR {TITLE.replace('line', 'last')} OR regexp_matches(last, '[.?!:;)]$')) AS joins
+    FROM fold WHERE i < len(l)
+  )
+), put AS (SELECT doc_id, array_to_string(parts, chr(10)) AS joined FROM fold WHERE i = len(l))
+SELECT doc_id, {strip(rf"regexp_replace({_REPAIRED}, '\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM put
+"""
+
 _PROMPT_HEAD = "'Question ID: ' || question_id || chr(10) || 'Question: ' || question"
 _BLOCK = "'[chunk_id: ' || c.chunk_id || ']' || chr(10) || 'title: ' || coalesce(title, 'None') || chr(10) || 'section: ' || coalesce(section, 'None') || chr(10) || 'text:' || chr(10) || c.text"
 PROMPTS = f"""WITH {CHUNKS}, {ASKED}, {ranked(5)}, made AS (
@@ -420,6 +452,7 @@ def _more_sql() -> dict[str, str]:
         "iterkey_trace": f"WITH {CHUNKS}, {ASKED}, {_round(1, 'asked', '[]::VARCHAR[]')}, {_round(2, 'round1_open', 'keywords')}, trace AS ({_trace(1)} UNION ALL {_trace(2)}), "
         f"last AS (SELECT question_id, CASE WHEN {own} THEN answer ELSE '' END AS final_answer, CASE WHEN {own} THEN '' ELSE 'No support was confirmed after ' || iteration || ' iterations.' END AS reason, "
         f"CASE WHEN {own} THEN citations ELSE retrieved END AS final_citations FROM trace QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY iteration DESC) = 1) SELECT * FROM trace JOIN last USING (question_id)",
+        "pdf_clean": PDF,
         "date_stamps": "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'reviewed-results-snapshot' ELSE strftime(TIMESTAMP '2026-01-31 21:05:09' + to_hours(item_id * 7), '%-m/%-d/%Y, %-I:%M:%S %p') END AS shown FROM benchmark",
         "jsonl_round_trip": "SELECT doc_id, md5(text) AS text_md5, lang, source FROM documents",
         "missing_fields": f"SELECT 'q' || item_id AS question_id, 'error' AS severity, 'missing_fields' AS rule, 'missing required fields: ' || array_to_string({_LOST}, ', ') AS message FROM benchmark WHERE len({_LOST}) > 0",

@@ -86,7 +86,6 @@ def line_flags(spark, sf):
 
 @query
 def pdf_clean(spark, sf):
-    """Rows only: the line merge is a fold; tests hold it against a brute-force version."""
     return _docs(spark, sf).select("doc_id", cleaning.clean_pdf_text(F.col("text")).alias("text"))
 
 
