@@ -115,6 +115,30 @@ def queries() -> dict[str, Query]:
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
+#: Each later occurrence of two adjacent lines, not both blank, goes with both its lines; ids are unique.
+OP1_SQL = r"""
+WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+pairs AS (SELECT doc_id, i, l[i] AS a, l[i + 1] AS b FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM texts)),
+met AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id NULLS LAST, i) AS n FROM pairs
+  WHERE NOT (regexp_full_match(a, '[\x20\x09-\x0D]*') AND regexp_full_match(b, '[\x20\x09-\x0D]*'))
+), gone AS (SELECT doc_id, list(DISTINCT i) AS g FROM (SELECT doc_id, unnest([i, i + 1]) AS i FROM met WHERE n > 1) GROUP BY 1)
+SELECT t.doc_id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(g, i)), chr(10)) END AS text,
+  coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS removed_lines
+FROM texts t LEFT JOIN gone o ON o.doc_id IS NOT DISTINCT FROM t.doc_id
+"""
+
+#: The article of a page by the template that the pages of the table share, apart from the operator.
+OP2_SQL = r"""
+WITH inside AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<br\s*/?>', ' ', 'g') AS a FROM pages
+), parts AS (
+  SELECT page_id, url, list_transform(string_split(regexp_replace(a, '</?(?:h[1-6]|p|div|ul|ol|li|blockquote|table|tr|td)\b[^>]*>', chr(1), 'g'), chr(1)),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS p FROM inside
+)
+SELECT page_id, url, array_to_string(list_filter(p, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(p, lambda x: x <> ''), chr(10)))::BIGINT AS n_chars FROM parts
+"""
+
 OP3_SQL = rf"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -158,7 +182,7 @@ FROM texts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op5_topk_search": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_html_extraction": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_topk_search": OP5_SQL, "op8_exact_dedup": OP8_SQL}
 
 
 __all__ = ["oracle_sql", "queries"]
