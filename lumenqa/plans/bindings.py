@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -94,13 +94,12 @@ def benchmark(spark: SparkSession, sf_dir: str) -> Benchmark:
 
     marked = items.select("question_id", F.get(anchors(F.col("question"), 1, ANCHOR_WORDS + 1), F.lit(0)).alias("anchor"))
     short = marked.filter("anchor is null").select("question_id")
-    seen = Observation("documents")
-    observed = docs.observe(seen, F.max("doc_id").alias("most"))
-    words = exploded(observed, F.array_distinct(anchors(F.col("text"), 0, ANCHOR_WORDS)), "doc_id", names=("place", "anchor"))
+    words = exploded(docs, F.array_distinct(anchors(F.col("text"), 0, ANCHOR_WORDS)), "doc_id", names=("place", "anchor"))
     candidates = written(words.join(bounded(marked.filter("anchor is not null"), 100_000), "anchor").select("doc_id", "question_id"), "benchmark")
     if not short.isEmpty():
         candidates = candidates.unionByName(docs.select("doc_id").crossJoin(F.broadcast(short)))
-    step = max(40, -(-((seen.get["most"] or 0) + 1) // 25))
+    most = docs.agg(F.max("doc_id")).first()[0] or 0  # reads ids only
+    step = max(40, -(-(most + 1) // 25))
     at = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
     row = lambda df, role, kind, key: df.select("question_id", F.lit(role).alias("role"), at(kind, key).alias("at"))
     wanted = (

@@ -398,6 +398,20 @@ fold(doc_id, l, i, parts, last) AS (
 SELECT doc_id, {strip(rf"regexp_replace({_REPAIRED}, '\n{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM put
 """
 
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')"""
+_LINES = f"list_transform(string_split(translate(raw, chr(160) || '–—', ' --'), chr(10)), lambda x: {_SQUEEZED})"
+#: Articles of the table's pages: a paragraph that is never closed holds all that follow, which are written alone as well.
+PAGE_TEXT = rf"""
+WITH inside AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+parts AS (SELECT page_id, string_split(a, '</h1>')[1] AS h, string_split(string_split(a, '</h1>')[2], '<p>')[2:] AS p FROM inside),
+texts AS (SELECT page_id, list_transform([h], lambda x: {strip(_PLAIN)})[1] AS h, list_transform(p, lambda x: {strip(_PLAIN)}) AS t, list_transform(p, lambda x: NOT contains(x, '</p>')) AS o FROM parts),
+put AS (
+  SELECT page_id, chr(10) || h || chr(10) || chr(10) ||
+    array_to_string(list_filter(list_transform(t, lambda x, i: CASE WHEN o[i] THEN array_to_string(list_filter(t[i:], lambda y: y <> ''), ' ') ELSE x END), lambda x: x <> ''), chr(10)) AS raw FROM texts
+), lined AS (SELECT page_id, {_LINES} AS l FROM put)
+SELECT page_id, {strip(r"""regexp_replace(array_to_string(list_filter(l, lambda x, i: x <> '' OR (i > 1 AND l[i - 1] <> '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')""")} AS text FROM lined
+"""
+
 _PROMPT_HEAD = "'Question ID: ' || question_id || chr(10) || 'Question: ' || question"
 _BLOCK = "'[chunk_id: ' || c.chunk_id || ']' || chr(10) || 'title: ' || coalesce(title, 'None') || chr(10) || 'section: ' || coalesce(section, 'None') || chr(10) || 'text:' || chr(10) || c.text"
 PROMPTS = f"""WITH {CHUNKS}, {ASKED}, {ranked(5)}, made AS (
@@ -453,6 +467,7 @@ def _more_sql() -> dict[str, str]:
         f"last AS (SELECT question_id, CASE WHEN {own} THEN answer ELSE '' END AS final_answer, CASE WHEN {own} THEN '' ELSE 'No support was confirmed after ' || iteration || ' iterations.' END AS reason, "
         f"CASE WHEN {own} THEN citations ELSE retrieved END AS final_citations FROM trace QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY iteration DESC) = 1) SELECT * FROM trace JOIN last USING (question_id)",
         "pdf_clean": PDF,
+        "html_text": PAGE_TEXT,
         "date_stamps": "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'reviewed-results-snapshot' ELSE strftime(TIMESTAMP '2026-01-31 21:05:09' + to_hours(item_id * 7), '%-m/%-d/%Y, %-I:%M:%S %p') END AS shown FROM benchmark",
         "jsonl_round_trip": "SELECT doc_id, md5(text) AS text_md5, lang, source FROM documents",
         "missing_fields": f"SELECT 'q' || item_id AS question_id, 'error' AS severity, 'missing_fields' AS rule, 'missing required fields: ' || array_to_string({_LOST}, ', ') AS message FROM benchmark WHERE len({_LOST}) > 0",

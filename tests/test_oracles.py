@@ -65,3 +65,22 @@ def test_result_does_not_depend_on_partitions(spark):
 
 def test_data_is_there():
     assert os.path.exists(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("empty", [("benchmark",), ("documents", "labels", "embeddings", "pages", "conversations"), TABLES])
+def test_empty_tables(spark, tmp_path, empty):
+    """Queries run on empty tables: no rows, or the rows of what is there."""
+    for t in TABLES:
+        table = spark.read.parquet(f"{SF}/{t}.parquet")
+        (table.limit(0) if t in empty else table).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    refuse = ("reviewed_metrics", "system_summary")  # no reviews are an error
+    names = "bm25_topk bm25_passages metrics_by_slice validate_findings validate_summary compare_overall predictions question_detail explorer_filter dense_topk near_duplicate_groups chunk_passages iterkey_trace rerank_topk".split()
+    for name in names:
+        rows = entry.queries()[name](spark, str(tmp_path)).count()
+        assert rows >= 0
+        if "documents" in empty and name in ("bm25_topk", "chunk_passages", "near_duplicate_groups", "dense_topk", "rerank_topk"):
+            assert rows == 0, name
+    if "labels" in empty:
+        for name in refuse:
+            with pytest.raises(ValueError):
+                entry.queries()[name](spark, str(tmp_path)).count()
