@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import exploded
 from .common import bounded_broadcast, join_by_key, let, written
 
 #: Repeated hashes (8 bytes) are broadcast up to this count; changed documents (id and spans) up to
@@ -84,7 +85,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, cut: Cut = local_minima
     The lines are an array that is made once a text, so a text costs time in proportion to its lines.
     """
     found = let(F.split(F.col(text_col), "\n", -1), lambda lines: cut(lines, texts))
-    rows = docs.filter(F.instr(F.col(text_col), "\n") > 0).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.explode(found).alias("c"))
+    rows = exploded(docs.filter(F.instr(F.col(text_col), "\n") > 0), found, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), names=("place", "c"))
     return rows.select("doc_id", "mark", "c.*")
 
 
