@@ -118,21 +118,38 @@ def chunk_passages(spark, sf):
 
 @query
 def term_freq(spark, sf):
-    rows = retrieval.postings(retrieval.weighted_terms(bind.chunks(spark, sf)))
-    return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("length"), F.max("tf").alias("most"), F.count_if("named").alias("named"))
+    """Counted in the row; only chunks that share an id are put together from their postings."""
+    entries = written(_term_freq_entries(spark, sf), "term-freq")
+    again = written(entries.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("chunk_id"), "term-freq")
+    rows = entries.select("chunk_id", "n_terms", "length", "most", "named")
+    if again.isEmpty():
+        return rows
+    shared = retrieval.summed(retrieval.postings(retrieval.weighted_terms(bind.chunks(spark, sf)).join(again, "chunk_id", "left_semi")))
+    put = shared.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("length"), F.max("tf").alias("most"), F.count_if("named").alias("named"))
+    return rows.join(again, "chunk_id", "left_anti").unionByName(put)
+
+
+def _term_freq_entries(spark, sf):
+    terms = F.col("terms")
+    return retrieval.weighted_terms(bind.chunks(spark, sf)).filter("length > 0").select(
+        "chunk_id", F.size(terms).cast("long").alias("n_terms"), "length", F.array_max(terms["tf"]).alias("most"), F.size(F.filter(terms["named"], lambda x: x)).cast("long").alias("named")
+    )
 
 
 @query
 def doc_freq_idf(spark, sf):
-    entries = retrieval.weighted_terms(bind.chunks(spark, sf))
-    n = F.broadcast(retrieval.corpus_stats(retrieval.lengths(entries)))  # one row
-    rows = retrieval.document_frequencies(entries).crossJoin(n)
+    chunks = bind.chunks(spark, sf)
+    n = F.broadcast(retrieval.corpus_stats(retrieval.weighted_terms(chunks, [])))  # one row
+    again, rows = retrieval.repeated(chunks), retrieval.postings(retrieval.weighted_terms(chunks))
+    if not again.isEmpty():  # reads ids only
+        rows = rows.join(again, retrieval.CHUNK, "left_anti").unionByName(retrieval.summed(rows.join(again, retrieval.CHUNK, "left_semi")))
+    rows = retrieval.document_frequencies(rows).crossJoin(n)
     return rows.select("term", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query
 def corpus_stats(spark, sf):
-    return retrieval.corpus_stats(retrieval.lengths(retrieval.weighted_terms(bind.chunks(spark, sf)))).select("n", F.round("average_length", 6).alias("average_length"))
+    return retrieval.corpus_stats(retrieval.weighted_terms(bind.chunks(spark, sf), [])).select("n", F.round("average_length", 6).alias("average_length"))
 
 
 def _shown(ranked: DataFrame) -> DataFrame:

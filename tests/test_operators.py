@@ -283,3 +283,41 @@ def test_question_detail(spark):
     pick = lambda **options: sorted((r["question_id"], r["gold"], r["system"], r["position"]) for r in evaluation.question_detail(asked, reviews, **options).collect())
     assert pick(selected="b") == pick(shown=asked.filter("not answerable")) == [("b", "why", "dense_rag", 3), ("b", "why", "non_rag", 1)]
     assert pick() == pick(selected="zzz", shown=asked.limit(0)) == [("a", "yes", None, None)]
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    chunks = spark.createDataFrame([(1, "1__0000", 0, "alpha", "en", "beta", "beta\nalpha gamma gamma don't"), (2, "2__0000", 0, None, None, None, None)], "doc_id long, chunk_id string, chunk_index int, title string, topic string, section string, text string")
+    rows = retrieval.weighted_terms(chunks)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: (r["length"], [tuple(t) for t in r["terms"]]) for r in rows.collect()}
+    assert got == {1: (10, [("alpha", 3, True), ("beta", 3, True), ("don't", 1, False), ("en", 1, False), ("gamma", 2, False)]), 2: (0, [])}
+    few = retrieval.weighted_terms(chunks, ["don't", "gamma"]).filter("doc_id = 1").first()
+    assert few["length"] == 10 and [tuple(t) for t in few["terms"]] == [("don't", 1, False), ("gamma", 2, False)]
+
+
+def test_bm25_by_cutoffs_equals_bm25_of_all(spark, monkeypatch):
+    """With ties, a question of few matches, rows that share an id, and more copies than places."""
+    import random
+
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(40)]
+    rows = [(i, f"{i}__0000", 0, rng.choice(pool), "en", None, " ".join(rng.choices(pool, weights=range(1, 41), k=rng.randint(1, 30)))) for i in range(600)]
+    rows += [(600 + i, f"{600 + i}__0000", 0, "w1", "en", None, "w1 w2 w3 w4") for i in range(60)] + [(7, "7__0000", 0, "w0", "en", None, "w1 w2 w2"), (700, "700__0000", 0, "x", "en", None, "rare")]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, chunk_index int, title string, topic string, section string, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3 w4"), (2, "w39 w0"), (3, "rare w5"), (4, "rare"), (5, "none"), (2, "w39")], "question_id long, question string")
+    found = lambda: sorted((r["question_id"], r["rank"], r["chunk_id"], r["score"], r["matches"]) for r in retrieval.bm25_search(asked, chunks, 5).collect())
+    whole = found()
+    monkeypatch.setattr(retrieval, "SAMPLE", 60)
+    monkeypatch.setattr(retrieval, "PART", 100)
+    assert found() == whole and len(whole) == 16
+
+
+def test_pages_are_read_in_small_pieces(spark):
+    pages = spark.createDataFrame([(i, f"<p>page {i}</p>" if i % 3 else None) for i in range(700)], "page_id long, html string").coalesce(1)
+    got = files.extract_pages(pages)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {i: f"page {i}" if i % 3 else "" for i in range(700)}
+
+
+def test_dense_search_holds_few_scores_at_once():
+    assert retrieval.QUERY_BLOCK * 10_000 * 8 <= 16 << 20  # of an Arrow batch of the default size
