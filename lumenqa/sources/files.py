@@ -12,6 +12,7 @@ from pathlib import Path, PurePosixPath
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,15 +154,23 @@ def page_text(page: str) -> str:
     return "\n".join(out or _strings(root))
 
 
+#: Pages that a worker holds as Python values at once.
+PAGES_AT_ONCE = 256
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text): extracted and cleaned text of web pages."""
     id_type = pages.schema[id_col].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"page_id": f["page_id"], "raw": [page_text(h or "") for h in f["html"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(start, PAGES_AT_ONCE)
+                texts = [page_text(h.as_py() or "") for h in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["page_id", "raw"])
+        pa.default_memory_pool().release_unused()  # the worker outlives its task
 
-    raw = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {id_type}, raw string")
+    raw = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {id_type}, raw string")
     return raw.select("page_id", cleaning.clean_html_text(F.col("raw")).alias("text"))
 
 
