@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources import scratch
 from ..sources.files import utc_stamp
-from .retrieval import bm25_search
+from .retrieval import bm25_search, with_columns_of, with_text
 
 # The generation systems, and what a structured answer must look like.
 SYSTEMS = ("non_rag", "bm25_rag", "dense_rag", "bm25_rerank_rag", "dense_rerank_rag", "iterkey_rag")
@@ -46,7 +46,7 @@ def open_prompt(domain: str = "the collection") -> tuple[Column, Column]:
 def evidence_prompts(questions: DataFrame, ranked: DataFrame, chunks: DataFrame, domain: str = "the collection") -> DataFrame:
     """question_id, instructions, input: evidence blocks in rank order; no results give an empty block list."""
     part = F.concat(F.lit("[chunk_id: "), F.col("chunk_id"), F.lit("]\ntitle: "), F.coalesce("title", F.lit("None")), F.lit("\nsection: "), F.coalesce("section", F.lit("None")), F.lit("\ntext:\n"), F.col("text"))
-    rows = ranked.select("question_id", "rank", "chunk_id").join(chunks.select("chunk_id", "title", "section", "text"), "chunk_id")
+    rows = with_columns_of(chunks, ranked.select("question_id", "rank", "chunk_id"), "title", "section", "text")
     parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"])
     evidence = rows.groupBy("question_id").agg(F.array_join(parts, "\n").alias("evidence"))
     _, head = open_prompt(domain)
@@ -168,7 +168,7 @@ def generation_rows(answers: DataFrame, questions: DataFrame, ranked: DataFrame
     if ranked is None:
         rows = rows.withColumn("retrieved_chunks", F.array().cast(f"array<{item}>"))
     else:
-        shown = ranked.join(chunks.select("chunk_id", "title", "section", tx.preview(F.col("text")).alias("text_preview")), "chunk_id")
+        shown = with_text(ranked, chunks)
         entry = F.struct("rank", "chunk_id", "doc_id", "section", "score", "title", "chunk_index", "text_preview").cast(item)
         rows = rows.join(shown.groupBy("question_id").agg(F.sort_array(F.collect_list(entry)).alias("retrieved_chunks")), "question_id", "left")
         rows = rows.withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", F.array().cast(f"array<{item}>")))

@@ -343,3 +343,21 @@ def test_pages_are_read_in_small_pieces(spark):
 
 def test_dense_search_holds_few_scores_at_once():
     assert retrieval.QUERY_BLOCK * 10_000 * 8 <= 16 << 20  # of an Arrow batch of the default size
+
+
+@pytest.mark.parametrize("made", [lambda ranked, asked, chunks: retrieval.rerank(ranked, asked, chunks, top_k=2), lambda ranked, asked, chunks: generation.evidence_prompts(asked, ranked, chunks), lambda ranked, asked, chunks: retrieval.with_text(ranked, chunks)])
+def test_texts_of_ranked_rows_stay_where_they_are_read(spark, made, monkeypatch):
+    """Few ranked rows are sent to the texts, no text is shuffled; the results are those of the shuffled join."""
+    chunks = spark.createDataFrame([(i, f"{i}__0000", 0, "t", None, f"alpha beta {i}") for i in range(6)], "doc_id long, chunk_id string, chunk_index int, title string, section string, text string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta 3")], "question_id long, question string")
+    ranked = spark.createDataFrame([(1, 1, "5__0000", 5, 0, 1.0), (2, 1, "4__0000", 4, 0, 1.0), (2, 2, "3__0000", 3, 0, 0.5)], "question_id long, rank int, chunk_id string, doc_id long, chunk_index int, score double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = made(ranked, asked, chunks)
+        assert "hashpartitioning(chunk_id" not in df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(repr, df.collect()))
+        monkeypatch.setattr(retrieval, "BROADCAST_RANKED", 1)
+        assert got == sorted(map(repr, made(ranked, asked, chunks).collect())) and len(got) > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
