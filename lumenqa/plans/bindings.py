@@ -78,24 +78,35 @@ class Benchmark:
 
 #: Words of an item that stand for it: whole words, as neither the first nor the last is among them.
 ANCHOR_WORDS = 3
+#: Up to this many first words of anchors are looked for in the row, else all words of a document are hashed three by three.
+LITERAL_HEADS = 2_000
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> Benchmark:
     """Two scans of the documents: three words in a row point out which may hold an item, then the text decides.
 
     Items are a query set of bounded size, candidates are broadcast while few; no item meets a
-    document that lacks its words (items of under five words have none and meet all).
+    document that lacks its words (items of under five words have none and meet all).  The first of
+    the three is the longest there is: few places of a document begin with it, and only those are hashed.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     items = written(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), "benchmark")
+    three = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR_WORDS)])
 
-    def anchors(text, from_: int, least: int):
-        return let(F.split(text, r"\s+"), lambda w: F.transform(F.filter(F.sequence(F.lit(from_), F.size(w)), lambda i: i + least <= F.size(w)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR_WORDS)])))
+    def anchor(w):
+        inner = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i + ANCHOR_WORDS < F.size(w))
+        return F.array_max(F.transform(inner, lambda i: F.struct(F.char_length(F.get(w, i)).alias("size"), (-i).alias("place"), F.get(w, i).alias("head"), three(w, i).alias("anchor"))))
 
-    marked = items.select("question_id", F.get(anchors(F.col("question"), 1, ANCHOR_WORDS + 1), F.lit(0)).alias("anchor"))
+    marked = written(items.select("question_id", let(F.split("question", r"\s+"), anchor).alias("a")).select("question_id", "a.head", "a.anchor"), "benchmark")
     short = marked.filter("anchor is null").select("question_id")
-    words = exploded(docs, F.array_distinct(anchors(F.col("text"), 0, ANCHOR_WORDS)), "doc_id", names=("place", "anchor"))
-    candidates = written(words.join(bounded(marked.filter("anchor is not null"), 100_000), "anchor").select("doc_id", "question_id"), "benchmark")
+    heads = [r[0] for r in marked.filter("anchor is not null").select("head").distinct().limit(LITERAL_HEADS + 1).collect()]
+
+    def anchors(w):
+        at = (lambda x, i: F.when(x.isin(heads), three(w, i))) if len(heads) <= LITERAL_HEADS else (lambda x, i: three(w, i))
+        return F.array_distinct(F.filter(F.transform(w, at), lambda a: a.isNotNull()))
+
+    places = exploded(docs, let(F.split("text", r"\s+"), anchors), "doc_id", names=("place", "anchor"))
+    candidates = written(places.join(bounded(marked.select("question_id", "anchor").filter("anchor is not null"), 100_000), "anchor").select("doc_id", "question_id"), "benchmark")
     if not short.isEmpty():
         candidates = candidates.unionByName(docs.select("doc_id").crossJoin(F.broadcast(short)))
     most = docs.agg(F.max("doc_id")).first()[0] or 0  # reads ids only
