@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is worked out once, however often the body names it.
+
+    It is the end of a fold over no elements: a transform would copy the value's strings, a fold copies nothing.
+    """
+    return F.aggregate(F.array(), value, lambda v, _: v, body)
 
 
 def exploded(df: DataFrame, rows: Column, *columns: str | Column, names: tuple[str, ...] = ("at", "x")) -> DataFrame:
